@@ -60,8 +60,10 @@ def assembler(features: list[str]) -> VectorAssembler:
 
 def random_forest(features: list[str], label: str = LABEL, seed: int = 42, num_trees: int = 200,
                   max_depth: int = 15, min_leaf: int = 2) -> Pipeline:
+    # node-id caching and a larger per-iteration node budget cut the passes a deep forest needs
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=num_trees,
-                                maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed)
+                                maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
+                                cacheNodeIds=True, maxMemoryInMB=1024)
     return Pipeline(stages=[assembler(features), rf])
 
 
@@ -72,7 +74,8 @@ def gbt_from_params(features: list[str], params: dict, label: str = LABEL, seed:
         maxIter=int(params.get("n_estimators", 100)), maxDepth=min(30, int(params.get("max_depth", 6))),
         stepSize=float(params.get("learning_rate", 0.1)), subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy="all" if frac >= 1.0 else f"{frac:.6f}",
-        minInstancesPerNode=int(params.get("min_child_weight", 1)), minInfoGain=float(params.get("gamma", 0.0)))
+        minInstancesPerNode=int(params.get("min_child_weight", 1)), minInfoGain=float(params.get("gamma", 0.0)),
+        maxMemoryInMB=1024)
     return Pipeline(stages=[assembler(features), gbt])
 
 
@@ -80,8 +83,14 @@ def positive_probability(scored: DataFrame, col: str = "prob") -> DataFrame:
     return scored.withColumn(col, vector_to_array(F.col("probability"))[1])
 
 
+def training_frame(df: DataFrame) -> DataFrame:
+    """Spread a small training set over the cluster's cores (large inputs already are)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def fit_and_score(pipeline: Pipeline, train: DataFrame, test: DataFrame) -> DataFrame:
-    model = pipeline.fit(train)
+    model = pipeline.fit(training_frame(train))
     return positive_probability(model.transform(test)), model
 
 

@@ -7,7 +7,8 @@ from attriscope.operators import explain as X
 from attriscope.operators import metrics as M
 from attriscope.operators import ml as ML
 from attriscope.operators.common import round_cols
-from attriscope.operators.features import fit_features
+from attriscope.operators.features import align_features, fit_features, seeded_sample
+from attriscope.operators.treeshap import tree_shap
 from attriscope.operators.split import stratified_split
 from attriscope.plans.base import query, with_v
 from attriscope.sources.tables import employees as E
@@ -70,39 +71,63 @@ def q_model_comparison(spark, sf):
     return round_cols(M.model_comparison(_labels(spark, sf), "toxic", "pred"), {"new": 6, "change": 6})
 
 
+_CACHE: dict = {}
+
+
 def _train_test(spark, sf, version="v1"):
-    emp = E(spark, sf)
-    ff = fit_features(emp, version)
-    mat = ff.transform(emp)
-    sp = stratified_split(mat, "Attrition", "EmployeeNumber").checkpoint(eager=True)
-    return ff, sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    """Fitted features + stratified split, once per session and scale factor (checkpointed)."""
+    key = (id(spark), sf, "split", version)
+    if key not in _CACHE:
+        emp = E(spark, sf)
+        ff = fit_features(emp, version)
+        sp = stratified_split(ff.transform(emp), "Attrition", "EmployeeNumber").checkpoint(eager=True)
+        _CACHE[key] = (ff, sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"))
+    return _CACHE[key]
+
+
+def _forest(spark, sf):
+    """The class-weighted forest, trained once per session (score once, many reports)."""
+    key = (id(spark), sf, "forest")
+    if key not in _CACHE:
+        ff, tr, te = _train_test(spark, sf)
+        model = ML.random_forest(ff.feature_names).fit(ML.training_frame(ML.with_class_weights(tr)))
+        _CACHE[key] = model
+    return _CACHE[key]
+
+
+DEFAULT_GBT = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8,
+               "colsample_bytree": 1.0, "min_child_weight": 1, "gamma": 0.0}
+
+
+def _gbt(spark, sf):
+    """Boosted trees on SMOTE-Tomek-resampled v2 training rows, trained once per session."""
+    key = (id(spark), sf, "gbt")
+    if key not in _CACHE:
+        ff, tr, te = _train_test(spark, sf, "v2")
+        rs = ML.resample_fold(tr, ff.feature_names, "EmployeeNumber", "smote_tomek").checkpoint(eager=True)
+        _CACHE[key] = ML.gbt_from_params(ff.feature_names, DEFAULT_GBT).fit(ML.training_frame(rs))
+    return _CACHE[key]
 
 
 @query("forest_scores")
 def q_forest_scores(spark, sf):
     """Class-weighted random forest on the v1 matrix: hold-out probabilities."""
     ff, tr, te = _train_test(spark, sf)
-    scored, _ = ML.fit_and_score(ML.random_forest(ff.feature_names), ML.with_class_weights(tr), te)
+    scored = ML.positive_probability(_forest(spark, sf).transform(te))
     return scored.select("EmployeeNumber", "Attrition", "prob", F.col("prediction").cast("int").alias("prediction"))
 
 
 @query("forest_importance")
 def q_forest_importance(spark, sf):
     ff, tr, _ = _train_test(spark, sf)
-    model = ML.random_forest(ff.feature_names).fit(ML.with_class_weights(tr))
-    return ML.feature_importances(model, ff.feature_names)
-
-
-DEFAULT_GBT = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8,
-               "colsample_bytree": 1.0, "min_child_weight": 1, "gamma": 0.0}
+    return ML.feature_importances(_forest(spark, sf), ff.feature_names)
 
 
 @query("gbt_scores")
 def q_gbt_scores(spark, sf):
     """Boosted trees on the SMOTE-Tomek-resampled v2 training rows: hold-out probabilities."""
     ff, tr, te = _train_test(spark, sf, "v2")
-    tr = ML.resample_fold(tr, ff.feature_names, "EmployeeNumber", "smote_tomek")
-    scored, _ = ML.fit_and_score(ML.gbt_from_params(ff.feature_names, DEFAULT_GBT), tr, te)
+    scored = ML.positive_probability(_gbt(spark, sf).transform(te))
     return scored.select("EmployeeNumber", "Attrition", "prob", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -110,10 +135,29 @@ def q_gbt_scores(spark, sf):
 def q_model_metrics(spark, sf):
     """Hold-out accuracy / precision / recall / F1 of the class-weighted forest."""
     ff, tr, te = _train_test(spark, sf)
-    scored, _ = ML.fit_and_score(ML.random_forest(ff.feature_names), ML.with_class_weights(tr), te)
+    scored = _forest(spark, sf).transform(te)
     return M.binary_metrics(scored.withColumn("pred", F.col("prediction").cast("int")), "Attrition", "pred")
 
 
+@query("model_scores")
+def q_model_scores(spark, sf):
+    """Batch scoring of every employee with the trained forest (fitted features, aligned, probability)."""
+    ff, _, _ = _train_test(spark, sf)
+    emp = E(spark, sf)
+    mat = align_features(ff.transform(emp), ff.feature_names, keep=("EmployeeNumber",))
+    scored = ML.positive_probability(_forest(spark, sf).transform(mat))
+    return scored.select("EmployeeNumber", F.bround(F.col("prob") * F.lit(100.0), 2).alias("AttritionRiskPct"))
+
+
+@query("tree_shap")
+def q_tree_shap(spark, sf):
+    """TreeSHAP of the boosted trees (margin space) over a seeded 100-row sample of the hold-out."""
+    ff, _, te = _train_test(spark, sf, "v2")
+    sample = seeded_sample(te, 100)
+    shap, base = tree_shap(sample, _gbt(spark, sf).stages[-1], ff.feature_names, "EmployeeNumber", "gbt")
+    return shap.withColumn("base_value", F.lit(base))
+
+
 _X = ("x AS (SELECT EmployeeNumber, CASE WHEN OverTime = 'Yes' THEN 1E0 ELSE 0E0 END AS OverTime_Yes, "
       "CAST(MonthlyIncome AS DOUBLE) AS MonthlyIncome, CAST(JobSatisfaction AS DOUBLE) AS JobSatisfaction, "
       "CAST(WorkLifeBalance AS DOUBLE) AS WorkLifeBalance, CAST(Age AS DOUBLE) AS Age FROM v)")

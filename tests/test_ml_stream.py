@@ -90,3 +90,20 @@ def test_stream_equals_batch_and_rerun_adds_nothing(spark, emp):
     assert diff == 0
     assert score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk") == 0
     assert spark.read.parquet(f"{base}/out").count() == emp.count()
+
+
+@pytest.mark.parametrize("kind", ["gbt", "rf"])
+def test_tree_shap_additivity(spark, parts, kind):
+    from attriscope.operators.treeshap import margin_of, tree_shap
+
+    ff, tr, te = parts
+    if kind == "gbt":
+        model = ML.gbt_from_params(ff.feature_names, {"n_estimators": 8, "max_depth": 3}).fit(tr)
+    else:
+        model = ML.random_forest(ff.feature_names, num_trees=8, max_depth=4).fit(ML.with_class_weights(tr))
+    shap, base = tree_shap(te, model.stages[-1], ff.feature_names, "EmployeeNumber", kind)
+    tot = shap.groupBy("EmployeeNumber").agg(F.sum("shap").alias("s"))
+    marg = model.transform(te).select("EmployeeNumber", margin_of(model.stages[-1], kind).alias("m"))
+    rows = tot.join(marg, "EmployeeNumber").collect()
+    assert len(rows) == te.count()
+    assert all(abs(r["s"] + base - r["m"]) < 1e-9 for r in rows)
