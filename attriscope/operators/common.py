@@ -24,3 +24,20 @@ def known_keys(df: DataFrame, *keys: str) -> DataFrame:
         c = F.col(k).isNotNull()
         cond = c if cond is None else cond & c
     return df.where(cond)
+
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join a per-group result back onto rows.
+
+    ``small`` is counted first (an aggregate, one row per group); under
+    ``max_rows`` it is broadcast, so a hot group never meets a shuffle.  Above
+    the bound the join is left to a shuffle join, where AQE's skew handling
+    splits hot partitions.
+    """
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on, how)

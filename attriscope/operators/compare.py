@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attriscope.functions.finance import expected_loss
-from attriscope.operators.common import scalar_row
+from attriscope.operators.common import join_small, scalar_row
 from attriscope.operators.quantiles import exact_median
 
 HIGH = 0.5
@@ -98,7 +98,7 @@ def group_position(emp: DataFrame, key: str = "Department") -> DataFrame:
     g = emp.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.avg("MonthlyIncome").alias("dept_avg_income"), F.avg("Risk").alias("dept_avg_risk"),
         F.avg("JobSatisfaction").alias("dept_avg_satisfaction"))
-    j = emp.select("EmployeeNumber", key, "MonthlyIncome", "Risk", "JobSatisfaction").join(g, key)
+    j = join_small(emp.select("EmployeeNumber", key, "MonthlyIncome", "Risk", "JobSatisfaction"), g, key)
     return j.withColumns({
         "income_diff_pct": F.when(F.col("dept_avg_income") > 0,
                                   (F.col("MonthlyIncome") - F.col("dept_avg_income")) / F.col("dept_avg_income") * F.lit(100.0))

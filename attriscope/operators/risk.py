@@ -195,13 +195,17 @@ def equi_width_hist(df: DataFrame, value: str, bins: int, by: str | None = None)
     src = src.where(F.col(value).isNotNull())
     rng = src.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"),
                                  F.avg(value).alias("mean"))
-    if not keys:  # whole-table range: three scalars as literals
+    if not keys:  # whole-table range: three scalars enter the plan as literals
         r = rng.collect()[0]
-        rng = src.sparkSession.createDataFrame([(0, r["lo"], r["hi"], r["mean"])],
-                                               f"_k int, lo {rng.schema['lo'].dataType.simpleString()}, "
-                                               f"hi {rng.schema['hi'].dataType.simpleString()}, mean double")
-        src = src.withColumn("_k", F.lit(0))
-        keys = ["_k"]
+        src = src.withColumns({"lo": F.lit(r["lo"]), "hi": F.lit(r["hi"]), "mean": F.lit(r["mean"]).cast("double")})
+        x = F.col(value).cast("double")
+        w = (F.col("hi") - F.col("lo")).cast("double") / F.lit(float(bins))
+        b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
+            F.least(F.floor((x - F.col("lo")) / w) + F.lit(1), F.lit(bins)).cast("int"))
+        h = src.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+        return h.select("bin", "n", F.lit(r["mean"]).cast("double").alias("mean"),
+                        (F.lit(r["lo"]) + (F.col("bin") - F.lit(1)) * (F.lit(r["hi"]) - F.lit(r["lo"])).cast("double") / F.lit(float(bins))).alias("bin_lo"),
+                        (F.lit(r["lo"]) + F.col("bin") * (F.lit(r["hi"]) - F.lit(r["lo"])).cast("double") / F.lit(float(bins))).alias("bin_hi"))
     x = F.col(value).cast("double")
     w = (F.col("hi") - F.col("lo")).cast("double") / F.lit(float(bins))
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(

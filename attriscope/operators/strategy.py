@@ -58,10 +58,10 @@ def strategy_report(emp: DataFrame, median_income: float | None = None) -> DataF
         F.count_if((F.col("OverTime") == "Yes") & (r > 0.5)).alias("n_ot"),
         F.count_if((F.col("Age") < 30) & (r > 0.4)).alias("n_young"),
         F.avg("Risk").alias("avg_risk"))
-    dept = (emp.where(F.col("Department").isNotNull()).groupBy("Department").agg(F.avg("Risk").alias("m"))
-               .agg(F.min_by("Department", F.struct(-F.col("m"), F.col("Department"))).alias("riskiest")))
-    # both sides are exactly one row; an equi-join on a constant key keeps the plan a hash join
-    a = a.withColumn("_k", F.lit(1)).join(F.broadcast(dept.withColumn("_k", F.lit(1))), "_k")
+    riskiest = (emp.where(F.col("Department").isNotNull()).groupBy("Department").agg(F.avg("Risk").alias("m"))
+                   .agg(F.min_by("Department", F.struct(-F.col("m"), F.col("Department"))).alias("riskiest"))
+                   .first()["riskiest"])  # one value
+    a = a.withColumn("riskiest", F.lit(riskiest))
     cost = F.bround(F.col("low_inc_sum") * F.lit(0.1) * F.lit(12.0), 0).cast("long")
     avg_pct = F.bround(F.col("avg_risk") * F.lit(100.0), 1).cast("string")
     def rule(i, topic, on, text):
