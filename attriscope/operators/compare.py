@@ -155,3 +155,40 @@ def action_advice(emp: DataFrame, median_income: float | None = None) -> DataFra
         F.when(F.col("JobSatisfaction") <= 2, F.lit(ADV_CAREER)).otherwise(F.lit("")))
     text = F.when(F.col("Risk") > HIGH, urgent).otherwise(F.format_string(ADV_STABLE, pct))
     return emp.select("EmployeeNumber", pct.alias("risk_pct"), text.alias("advice"))
+
+
+# Fixed row labels of the 15-row comparison table, in display order.
+DETAIL_METRICS = ["Monthly income ($)", "Age", "Total experience (years)", "Company tenure (years)",
+                  "Job satisfaction (1-4)", "Environment satisfaction (1-4)", "Relationship satisfaction (1-4)",
+                  "Work-life balance (1-4)", "Performance (3-4)", "Education (1-5)", "Distance from home (km)",
+                  "Daily rate ($)", "Overtime", "Attrition risk (%)", "Estimated loss ($)"]
+
+
+def _money(c):
+    return F.concat(F.lit("$"), F.format_number(F.bround(c, 0).cast("long"), 0))
+
+
+def detail_values(emp: DataFrame):
+    """The 15 display values of one employee, as text, in DETAIL_METRICS order."""
+    ints = ["Age", "TotalWorkingYears", "YearsAtCompany", "JobSatisfaction", "EnvironmentSatisfaction",
+            "RelationshipSatisfaction", "WorkLifeBalance", "PerformanceRating", "Education", "DistanceFromHome",
+            "DailyRate"]
+    return F.array(
+        _money(F.col("MonthlyIncome")),
+        *[F.col(c).cast("string") for c in ints],
+        F.when(F.col("OverTime") == "Yes", F.lit("Yes")).otherwise(F.lit("No")),
+        F.concat(F.lit("%"), F.bround(F.col("Risk") * F.lit(100.0), 1).cast("string")),
+        _money(expected_loss("Risk", "MonthlyIncome")))
+
+
+def pair_detail_table(emp: DataFrame) -> DataFrame:
+    """15-row side-by-side table per pair: (pair_id, row, metric, value_1, value_2)."""
+    p = pairs(emp).select("pair_id", "side", "EmployeeNumber", detail_values(emp).alias("vals"))
+    a = p.where(F.col("side") == 1).select("pair_id", F.col("vals").alias("v1"))
+    b = p.where(F.col("side") == 2).select("pair_id", F.col("vals").alias("v2"))
+    names = F.array(*[F.lit(m) for m in DETAIL_METRICS])
+    rows = F.transform(F.sequence(F.lit(1), F.lit(len(DETAIL_METRICS))),
+                       lambda i: F.struct(i.alias("row"), F.element_at(names, i).alias("metric"),
+                                          F.element_at(F.col("v1"), i).alias("value_1"),
+                                          F.element_at(F.col("v2"), i).alias("value_2")))
+    return a.join(b, "pair_id").select("pair_id", F.inline(rows))

@@ -8,7 +8,7 @@ distributed selection in :mod:`attriscope.operators.quantiles` over a long
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,10 +45,12 @@ def null_profile(df: DataFrame) -> DataFrame:
     stack = ", ".join(f"'{c}', {i}, `m{i}`" for i, c in enumerate(cols))
     long = row.select("_n", F.expr(f"stack({len(cols)}, {stack}) as (column_name, ordinal, null_count)"))
     del n
+    # grand total over the per-column rows (one row per column, not per data row)
     return long.select(
         "column_name", "ordinal", "null_count",
         F.bround(F.col("null_count") * F.lit(100.0) / F.col("_n"), 2).alias("null_pct"),
-        (F.col("null_count") > 0).alias("has_missing"))
+        (F.col("null_count") > 0).alias("has_missing"),
+        F.sum("null_count").over(Window.partitionBy()).alias("total_nulls"))
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -98,6 +100,10 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return types.join(d, "ordinal")
 
 
+def table_shape(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
 def dtype_counts(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     return (spark.createDataFrame([(f.dataType.simpleString(),) for f in df.schema.fields], "data_type string")

@@ -49,12 +49,15 @@ def q_scan_table(spark, sf):
     return E(spark, sf)
 
 
-@query("null_profile", "\nUNION ALL ".join(
+_NULL_ROWS = "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, {i} AS ordinal, "
     f"CAST(SUM(CASE WHEN {c} IS NULL{' OR isnan(' + c + ')' if fl else ''} THEN 1 ELSE 0 END) AS BIGINT) AS null_count, "
     f"ROUND_EVEN(SUM(CASE WHEN {c} IS NULL{' OR isnan(' + c + ')' if fl else ''} THEN 1 ELSE 0 END) * 100E0 / COUNT(*), 2) AS null_pct, "
     f"SUM(CASE WHEN {c} IS NULL{' OR isnan(' + c + ')' if fl else ''} THEN 1 ELSE 0 END) > 0 AS has_missing FROM lineitem"
-    for i, (c, fl) in enumerate(LINEITEM_COLUMNS)))
+    for i, (c, fl) in enumerate(LINEITEM_COLUMNS))
+
+
+@query("null_profile", f"SELECT *, CAST(SUM(null_count) OVER () AS BIGINT) AS total_nulls FROM ({_NULL_ROWS})")
 def q_null_profile(spark, sf):
     return P.null_profile(load(spark, sf, "lineitem"))
 
@@ -83,6 +86,11 @@ def q_schema_profile(spark, sf):
     return P.schema_profile(E(spark, sf))
 
 
+@query("table_shape", with_v(f"SELECT COUNT(*) AS n_rows, {len(EMPLOYEE_COLUMNS)} AS n_columns FROM v"))
+def q_table_shape(spark, sf):
+    return P.table_shape(E(spark, sf))
+
+
 @query("dtype_counts")
 def q_dtype_counts(spark, sf):
     return P.dtype_counts(E(spark, sf))

@@ -158,6 +158,29 @@ def q_pair_metrics_table(spark, sf):
     return round_cols(C.pair_metrics_table(E(spark, sf)), {"value_1": 6, "value_2": 6})
 
 
+def _detail_rows(side):
+    vals = (["'$' || format('{:,}', CAST(ROUND_EVEN(MonthlyIncome, 0) AS BIGINT))"]
+            + [f"CAST({c} AS VARCHAR)" for c in ["Age", "TotalWorkingYears", "YearsAtCompany", "JobSatisfaction",
+                                               "EnvironmentSatisfaction", "RelationshipSatisfaction", "WorkLifeBalance",
+                                               "PerformanceRating", "Education", "DistanceFromHome", "DailyRate"]]
+            + ["CASE WHEN OverTime = 'Yes' THEN 'Yes' ELSE 'No' END",
+               "'%' || CAST(ROUND_EVEN(Risk * 100E0, 1) AS VARCHAR)",
+               f"'$' || format('{{:,}}', CAST(ROUND_EVEN({loss_sql('Risk', 'MonthlyIncome')}, 0) AS BIGINT))"])
+    return "[" + ", ".join(vals) + "]"
+
+
+_METRIC_NAMES = "[" + ", ".join(f"'{m}'" for m in C.DETAIL_METRICS) + "]"
+
+
+@query("pair_detail_table", with_v(f"""
+SELECT pair_id, CAST(i AS INT) AS row, {_METRIC_NAMES}[i] AS metric, a.vals[i] AS value_1, b.vals[i] AS value_2
+FROM (SELECT (EmployeeNumber + 1) // 2 AS pair_id, {_detail_rows(1)} AS vals FROM v WHERE EmployeeNumber % 2 = 1) a
+JOIN (SELECT (EmployeeNumber + 1) // 2 AS pair_id, {_detail_rows(2)} AS vals FROM v WHERE EmployeeNumber % 2 = 0) b
+USING (pair_id), range(1, {len(C.DETAIL_METRICS) + 1}) t(i)"""))
+def q_pair_detail_table(spark, sf):
+    return C.pair_detail_table(E(spark, sf))
+
+
 @query("radar_scores", with_v("""
 SELECT EmployeeNumber, ROUND(MonthlyIncome / m.inc * 5E0, 6) AS salary,
        ROUND(JobSatisfaction / 4E0 * 5E0, 6) AS job_satisfaction,
