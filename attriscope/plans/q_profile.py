@@ -81,7 +81,15 @@ def q_categorical_summary(spark, sf):
     return P.categorical_summary(E(spark, sf), EMP_STRINGS)
 
 
-@query("schema_profile")
+_SPARK_TYPE = ("CASE typeof(ANY_VALUE({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+               "WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' "
+               "ELSE lower(typeof(ANY_VALUE({c}))) END")
+_SCHEMA_ROWS = "\nUNION ALL ".join(
+    f"SELECT CAST({i} AS INT) AS ordinal, '{c}' AS column_name, {_SPARK_TYPE.format(c=c)} AS data_type, "
+    f"COUNT(DISTINCT {c}) AS n_distinct FROM v" for i, c in enumerate(EMPLOYEE_COLUMNS))
+
+
+@query("schema_profile", with_v(_SCHEMA_ROWS))
 def q_schema_profile(spark, sf):
     return P.schema_profile(E(spark, sf))
 
@@ -91,7 +99,7 @@ def q_table_shape(spark, sf):
     return P.table_shape(E(spark, sf))
 
 
-@query("dtype_counts")
+@query("dtype_counts", with_v(f"SELECT data_type, COUNT(*) AS n_columns FROM ({_SCHEMA_ROWS}) GROUP BY data_type"))
 def q_dtype_counts(spark, sf):
     return P.dtype_counts(E(spark, sf))
 

@@ -90,7 +90,17 @@ def q_tomek_clean(spark, sf):
     return RS.tomek_clean(_classed(spark, sf), "cls", id_col="vec_id", vec_col="embedding").select("vec_id", "label")
 
 
-@query("smote_tomek")
+@query("smote_tomek", _SMOTE_SQL + f""",
+allp AS (SELECT vec_id, label, FALSE AS synthetic, CAST(embedding AS DOUBLE[]) AS embedding,
+                CASE WHEN label = 0 THEN 1 ELSE 0 END AS cls FROM embeddings
+         UNION ALL SELECT id, 0, TRUE, vec, 1 FROM s),
+nn1 AS (SELECT vec_id, nn_id FROM (
+  SELECT a.vec_id, b.vec_id AS nn_id, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS rk
+  FROM allp a, allp b WHERE a.vec_id <> b.vec_id) WHERE rk = 1),
+lk AS (SELECT x.vec_id AS a, x.nn_id AS b FROM nn1 x JOIN nn1 y ON x.vec_id = y.nn_id AND x.nn_id = y.vec_id
+       JOIN allp pa ON pa.vec_id = x.vec_id JOIN allp pb ON pb.vec_id = x.nn_id
+       WHERE x.vec_id < x.nn_id AND pa.cls <> pb.cls)
+SELECT vec_id, label, synthetic FROM allp WHERE vec_id NOT IN (SELECT a FROM lk UNION SELECT b FROM lk)""")
 def q_smote_tomek(spark, sf):
     """SMOTE then Tomek-link removal (the v2 resampler); rows-only + property tests."""
     res = RS.smote_tomek(_emb(spark, sf), "label", MINORITY, 5, id_col="vec_id", vec_col="embedding")
