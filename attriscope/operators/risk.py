@@ -79,11 +79,14 @@ def role_department_pivot(emp: DataFrame, departments: list[str] | None = None)
     """Mean risk, role rows x department columns; an empty cell is null."""
     e = known_keys(emp, "JobRole", "Department")
     if departments is None:
-        # pivot values = department vocabulary (bounded by the category count)
-        departments = sorted(r[0] for r in e.select("Department").distinct().collect())
+        # pivot values = department vocabulary (a category list, checked to stay bounded)
+        departments = sorted(r[0] for r in e.select("Department").distinct().limit(MAX_PIVOT + 1).collect())
+        if len(departments) > MAX_PIVOT:
+            raise ValueError(f"more than {MAX_PIVOT} departments: not a pivot dimension")
     return e.groupBy("JobRole").pivot("Department", departments).agg(F.avg("Risk"))
 
 
+MAX_PIVOT = 1000
 PERFORMANCE_LEVELS = ("Low", "Expected", "Outstanding")
 
 
