@@ -76,7 +76,7 @@ _CACHE: dict = {}
 
 def _train_test(spark, sf, version="v1"):
     """Fitted features + stratified split, once per session and scale factor (checkpointed)."""
-    key = (id(spark), sf, "split", version)
+    key = (spark.sparkContext.applicationId, sf, "split", version)
     if key not in _CACHE:
         emp = E(spark, sf)
         ff = fit_features(emp, version)
@@ -87,7 +87,7 @@ def _train_test(spark, sf, version="v1"):
 
 def _forest(spark, sf):
     """The class-weighted forest, trained once per session (score once, many reports)."""
-    key = (id(spark), sf, "forest")
+    key = (spark.sparkContext.applicationId, sf, "forest")
     if key not in _CACHE:
         ff, tr, te = _train_test(spark, sf)
         model = ML.random_forest(ff.feature_names).fit(ML.training_frame(ML.with_class_weights(tr)))
@@ -101,7 +101,7 @@ DEFAULT_GBT = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsa
 
 def _gbt(spark, sf):
     """Boosted trees on SMOTE-Tomek-resampled v2 training rows, trained once per session."""
-    key = (id(spark), sf, "gbt")
+    key = (spark.sparkContext.applicationId, sf, "gbt")
     if key not in _CACHE:
         ff, tr, te = _train_test(spark, sf, "v2")
         rs = ML.resample_fold(tr, ff.feature_names, "EmployeeNumber", "smote_tomek").checkpoint(eager=True)

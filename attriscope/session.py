@@ -8,6 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings recommended for a large cluster (applied by the cluster's launcher, not set here).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",                          # runtime re-planning (join choice, coalescing)
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",     # shuffle partitions sized to fit executor memory
+    "spark.sql.shuffle.partitions": "8000",                        # upper bound; AQE coalesces small ones
+    "spark.sql.adaptive.skewJoin.enabled": "true",                 # split hot partitions of shuffle joins
+    "spark.sql.files.maxPartitionBytes": "256m",                   # scan split size
+    "spark.sql.autoBroadcastJoinThreshold": "64m",                 # size-checked broadcast by estimated size
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",           # Arrow batches for the pandas functions
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "attriscope") -> SparkSession:
     """Local session used by tests and the bench (never on a cluster)."""
     builder = (

@@ -95,7 +95,7 @@ def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lazy by default (Catalyst prunes the view per query); after
     :func:`register_employees` it is the materialized copy instead.
     """
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key in _registry:
         return _registry[key]
     return spark.sql(
@@ -110,7 +110,7 @@ def register_employees(spark: SparkSession, sf_dir: str, df: DataFrame | None =
     """Persist the scored table once (written to the shared folder) and reuse it."""
     from attriscope.session import materialize
 
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     _registry.pop(key, None)
     src = df if df is not None else employees(spark, sf_dir)
     out = materialize(src, "employees")
@@ -119,7 +119,7 @@ def register_employees(spark: SparkSession, sf_dir: str, df: DataFrame | None =
 
 
 def forget_employees(spark: SparkSession, sf_dir: str) -> None:
-    _registry.pop((id(spark), sf_dir), None)
+    _registry.pop((spark.sparkContext.applicationId, sf_dir), None)
 
 
 def employee_view_duckdb() -> str:

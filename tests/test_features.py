@@ -39,3 +39,12 @@ def test_seeded_sample_more_than_rows(spark, emp):
     a = [r[0] for r in seeded_sample(emp, 20).select("EmployeeNumber").collect()]
     b = [r[0] for r in seeded_sample(emp, 20).select("EmployeeNumber").collect()]
     assert sorted(a) == sorted(b) and len(set(a)) == 20
+
+
+def test_join_small_both_paths(spark, emp):
+    from attriscope.operators.common import join_small
+
+    g = emp.groupBy("Department").count()
+    a = join_small(emp.select("EmployeeNumber", "Department"), g, "Department").orderBy("EmployeeNumber").collect()
+    b = join_small(emp.select("EmployeeNumber", "Department"), g, "Department", max_rows=0).orderBy("EmployeeNumber").collect()
+    assert a == b and len(a) == emp.count()
