@@ -41,3 +41,25 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
+
+
+HOT_ROWS = 10_000
+
+
+def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], hot, max_hot_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Inner join where a few keys of ``big`` are hot.
+
+    ``hot`` flags the ``small`` rows whose key is hot (e.g. a group count
+    above a threshold).  Those rows are few: they are broadcast, so the hot
+    keys' rows of ``big`` are never shuffled by key; the remaining keys use a
+    shuffle join.  (If the flagged rows exceed ``max_hot_rows``, AQE's skew
+    splitting is left to handle them.)
+    """
+    hot_small = small.where(hot)
+    cold_small = small.where(~hot)
+    if hot_small.count() > max_hot_rows:
+        return big.join(small, keys)
+    hot_keys = hot_small.select(*keys).distinct()
+    part_hot = big.join(F.broadcast(hot_small), keys)
+    part_cold = big.join(F.broadcast(hot_keys), keys, "left_anti").join(cold_small, keys)
+    return part_hot.unionByName(part_cold)

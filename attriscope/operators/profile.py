@@ -41,10 +41,8 @@ def null_profile(df: DataFrame) -> DataFrame:
     """Per column: missing count, percent (2 dp, half-even) and whether any is missing."""
     cols = df.columns
     row = df.agg(F.count("*").alias("_n"), *[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)])
-    n = row.select("_n")
     stack = ", ".join(f"'{c}', {i}, `m{i}`" for i, c in enumerate(cols))
     long = row.select("_n", F.expr(f"stack({len(cols)}, {stack}) as (column_name, ordinal, null_count)"))
-    del n
     # grand total over the per-column rows (one row per column, not per data row)
     return long.select(
         "column_name", "ordinal", "null_count",

@@ -13,9 +13,10 @@ checkpoint instead of re-sorting.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attriscope.operators.common import join_small
 from attriscope.session import ensure_checkpoint_dir
 
 _LOW = (1 << 33) - 1
@@ -48,7 +49,7 @@ def global_rank(df: DataFrame, order: list, rank_col: str = "rank", group: str |
         gc = group_rank_col or f"{rank_col}_in_group"
         # rows before each group = global rank of its first row - 1 (one row per group)
         firsts = out.groupBy(group).agg(F.min(rank_col).alias("_first"))
-        out = (out.join(F.broadcast(firsts), group)
+        out = (join_small(out, firsts, group)
                   .withColumn(gc, F.col(rank_col) - F.col("_first") + F.lit(1))
                   .drop("_first"))
     return out.drop("_m", "_pid", "_off")

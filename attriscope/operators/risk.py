@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attriscope.functions.bands import band_index, complete_bands
 from attriscope.functions.finance import expected_loss, roi
-from attriscope.operators.common import known_keys
+from attriscope.operators.common import join_small, known_keys
 from attriscope.operators.quantiles import exact_median
 
 # Fixed cut-offs of the reports.
@@ -28,10 +28,6 @@ def loss():
     return expected_loss("Risk", "MonthlyIncome")
 
 
-def with_loss(emp: DataFrame) -> DataFrame:
-    return emp.withColumn("ExpectedLoss", loss())
-
-
 def company_kpis(emp: DataFrame) -> DataFrame:
     """Rows, high / critical counts, critical share (%), mean risk, total expected loss."""
     return emp.agg(
@@ -214,10 +210,10 @@ def equi_width_hist(df: DataFrame, value: str, bins: int, by: str | None = None)
     b = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor((x - F.col("lo")) / w) + F.lit(1), F.lit(bins)).cast("int"))
     # rng has one row per group: a bounded broadcast
-    joined = src.join(F.broadcast(rng), keys)
+    joined = join_small(src, rng, keys)      # one row per group, size-checked
     h = joined.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
     edges = rng.select(*keys, "lo", "hi", "mean")
-    out = h.join(F.broadcast(edges), keys)
+    out = join_small(h, edges, keys)
     wd = (F.col("hi") - F.col("lo")).cast("double") / F.lit(float(bins))
     return out.withColumns({
         "bin_lo": F.col("lo") + (F.col("bin") - F.lit(1)) * wd,

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attriscope.operators.common import join_small
 from attriscope.operators.ranking import global_rank
 
 
@@ -26,7 +27,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction=(1, 5),
     ranked = global_rank(src, ["_h", key], rank_col="_grank", group=label, group_rank_col="rank_in_class")
     counts = src.groupBy(label).agg(F.count("*").alias("_n"))   # one row per class
     n_test = F.floor((F.col("_n") * F.lit(2 * num) + F.lit(den)) / F.lit(2 * den))  # round half up, integer
-    out = ranked.join(F.broadcast(counts), label).withColumn("_ntest", n_test)
+    out = join_small(ranked, counts, label).withColumn("_ntest", n_test)
     return (out.withColumn("split", F.when(F.col("rank_in_class") <= F.col("_ntest"), F.lit("test"))
                                     .otherwise(F.lit("train")))
                .drop("_h", "_grank", "_n"))

@@ -1,6 +1,5 @@
 """Risk report queries (sections B6-B7, C1, C3, C6, D1-D11, D17-D24, F1, F5, H1, H2)."""
 
-from pyspark.sql import functions as F
 
 from attriscope.operators import risk as R
 from attriscope.operators.common import round_cols
