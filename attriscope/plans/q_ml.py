@@ -149,6 +149,18 @@ def q_model_scores(spark, sf):
     return scored.select("EmployeeNumber", F.bround(F.col("prob") * F.lit(100.0), 2).alias("AttritionRiskPct"))
 
 
+@query("model_department_profile")
+def q_model_department_profile(spark, sf):
+    """The flagship report on learned scores: every employee scored by the forest, then profiled."""
+    from attriscope.operators.risk import department_profile
+
+    ff, _, _ = _train_test(spark, sf)
+    emp = E(spark, sf).drop("Risk")
+    scored = ML.positive_probability(_forest(spark, sf).transform(ff.transform(emp, keep=("EmployeeNumber",))))
+    scored_emp = emp.join(scored.select("EmployeeNumber", F.col("prob").alias("Risk")), "EmployeeNumber")
+    return department_profile(scored_emp)
+
+
 @query("tree_shap")
 def q_tree_shap(spark, sf):
     """TreeSHAP of the boosted trees (margin space) over a seeded 100-row sample of the hold-out."""
