@@ -68,7 +68,7 @@ def risk_hierarchy(emp: DataFrame) -> DataFrame:
     return (known_keys(emp, "Department", "JobRole")
             .rollup("Department", "JobRole")
             .agg(F.count("*").alias("n_employees"), F.avg("Risk").alias("avg_risk"),
-                 F.grouping_id().alias("level")))
+                 F.grouping_id().cast("int").alias("level")))
 
 
 def role_department_pivot(emp: DataFrame, departments: list[str] | None = None) -> DataFrame:
