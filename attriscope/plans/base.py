@@ -31,3 +31,17 @@ def with_v(body: str, *ctes: str) -> str:
 
 LOSS_SQL = "CASE WHEN Risk < 0.2E0 THEN 0E0 ELSE MonthlyIncome * 6E0 * Risk END"
 MEDIAN_SQL = "(SELECT quantile_cont(MonthlyIncome, 0.5) FROM v)"
+
+
+_FITTED: dict = {}
+
+
+def fitted_features(spark, sf: str, version: str):
+    """The fitted feature pipeline of the scored table, once per application and tables."""
+    from attriscope.operators.features import fit_features
+    from attriscope.sources.tables import employees
+
+    key = (spark.sparkContext.applicationId, sf, version)
+    if key not in _FITTED:
+        _FITTED[key] = fit_features(employees(spark, sf), version)
+    return _FITTED[key]

@@ -7,10 +7,10 @@ from attriscope.operators import explain as X
 from attriscope.operators import metrics as M
 from attriscope.operators import ml as ML
 from attriscope.operators.common import round_cols
-from attriscope.operators.features import align_features, fit_features, seeded_sample
+from attriscope.operators.features import align_features, seeded_sample
 from attriscope.operators.treeshap import tree_shap
 from attriscope.operators.split import stratified_split
-from attriscope.plans.base import query, with_v
+from attriscope.plans.base import fitted_features, query, with_v
 from attriscope.sources.tables import employees as E
 from attriscope.sources.tables import load
 
@@ -79,7 +79,7 @@ def _train_test(spark, sf, version="v1"):
     key = (spark.sparkContext.applicationId, sf, "split", version)
     if key not in _CACHE:
         emp = E(spark, sf)
-        ff = fit_features(emp, version)
+        ff = fitted_features(spark, sf, version)
         sp = stratified_split(ff.transform(emp), "Attrition", "EmployeeNumber").checkpoint(eager=True)
         _CACHE[key] = (ff, sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"))
     return _CACHE[key]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from attriscope.operators import features as FE
 from attriscope.operators import profile as P
 from attriscope.operators.common import round_cols
-from attriscope.plans.base import query, with_v
+from attriscope.plans.base import fitted_features, query, with_v
 from attriscope.sources.tables import EMPLOYEE_COLUMNS, load
 from attriscope.sources.tables import employees as E
 
@@ -137,7 +137,7 @@ def q_label_binarize(spark, sf):
 @query("one_hot", with_v("SELECT EmployeeNumber, " + ", ".join(_dummies_sql()) + " FROM v"))
 def q_one_hot(spark, sf):
     emp = E(spark, sf)
-    ff = FE.fit_features(emp, "v1")
+    ff = fitted_features(spark, sf, "v1")
     return ff.transform(emp, with_label=False).select("EmployeeNumber", *[F.col(f"`{FE.dummy_name(c, v)}`")
                                                                          for c, v in ff.dummy_columns()])
 
@@ -145,16 +145,14 @@ def q_one_hot(spark, sf):
 @query("feature_matrix_v1", with_v("SELECT EmployeeNumber, " + ", ".join(V1_NUMERIC) + f", {_LABEL_SQL}, "
                                    + ", ".join(_dummies_sql()) + " FROM v"))
 def q_feature_matrix_v1(spark, sf):
-    emp = E(spark, sf)
-    return FE.fit_features(emp, "v1").transform(emp)
+    return fitted_features(spark, sf, "v1").transform(E(spark, sf))
 
 
 @query("feature_matrix_v2", with_v("SELECT EmployeeNumber, " + ", ".join(V1_NUMERIC) + ", "
                                    + ", ".join(f"{e} AS {n}" for n, e in RATIOS_SQL.items())
                                    + f", {_LABEL_SQL}, " + ", ".join(_dummies_sql()) + " FROM v"))
 def q_feature_matrix_v2(spark, sf):
-    emp = E(spark, sf)
-    return FE.fit_features(emp, "v2").transform(emp)
+    return fitted_features(spark, sf, "v2").transform(E(spark, sf))
 
 
 @query("align_features", with_v("SELECT EmployeeNumber, " + ", ".join(
@@ -162,8 +160,8 @@ def q_feature_matrix_v2(spark, sf):
 def q_align_features(spark, sf):
     """The v1 matrix aligned to the v2 manifest: ratio features absent, so 0."""
     emp = E(spark, sf)
-    v1 = FE.fit_features(emp, "v1").transform(emp)
-    v2 = FE.fit_features(emp, "v2")
+    v1 = fitted_features(spark, sf, "v1").transform(emp)
+    v2 = fitted_features(spark, sf, "v2")
     return FE.align_features(v1, v2.feature_names)
 
 
