@@ -95,7 +95,8 @@ def _forest(spark, sf):
     return _CACHE[key]
 
 
-DEFAULT_GBT = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8,
+# The boosted-tree library's documented defaults (used when no search has run).
+DEFAULT_GBT = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0,
                "colsample_bytree": 1.0, "min_child_weight": 1, "gamma": 0.0}
 
 
