@@ -109,6 +109,11 @@ def fit_features(df: DataFrame, version: str = "v1", exclude=SCORE_COLUMNS, key:
     return ff
 
 
+def drop_for_scoring(df: DataFrame, cols=SCORING_DROP) -> DataFrame:
+    """Drop the fixed non-feature columns; absent ones are ignored (``DataFrame.drop`` semantics)."""
+    return df.drop(*cols)
+
+
 def align_features(df: DataFrame, feature_names: list[str], keep: tuple = (KEY,)) -> DataFrame:
     """Select exactly the manifest's features in order; absent ones become 0, extras are dropped."""
     have = set(df.columns)

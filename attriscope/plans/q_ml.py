@@ -7,7 +7,7 @@ from attriscope.operators import explain as X
 from attriscope.operators import metrics as M
 from attriscope.operators import ml as ML
 from attriscope.operators.common import round_cols
-from attriscope.operators.features import align_features, seeded_sample
+from attriscope.operators.features import align_features, drop_for_scoring, seeded_sample
 from attriscope.operators.treeshap import tree_shap
 from attriscope.operators.split import stratified_split
 from attriscope.plans.base import fitted_features, query, with_v
@@ -144,8 +144,8 @@ def q_model_metrics(spark, sf):
 def q_model_scores(spark, sf):
     """Batch scoring of every employee with the trained forest (fitted features, aligned, probability)."""
     ff, _, _ = _train_test(spark, sf)
-    emp = E(spark, sf)
-    mat = align_features(ff.transform(emp), ff.feature_names, keep=("EmployeeNumber",))
+    emp = drop_for_scoring(E(spark, sf))          # raw roster columns that are never features
+    mat = align_features(ff.transform(emp, with_label=False), ff.feature_names, keep=("EmployeeNumber",))
     scored = ML.positive_probability(_forest(spark, sf).transform(mat))
     return scored.select("EmployeeNumber", F.bround(F.col("prob") * F.lit(100.0), 2).alias("AttritionRiskPct"))
 

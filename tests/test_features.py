@@ -48,3 +48,10 @@ def test_join_small_both_paths(spark, emp):
     a = join_small(emp.select("EmployeeNumber", "Department"), g, "Department").orderBy("EmployeeNumber").collect()
     b = join_small(emp.select("EmployeeNumber", "Department"), g, "Department", max_rows=0).orderBy("EmployeeNumber").collect()
     assert a == b and len(a) == emp.count()
+
+
+def test_drop_for_scoring_ignores_missing(spark, emp):
+    from attriscope.operators.features import drop_for_scoring
+
+    out = drop_for_scoring(emp.drop("Over18"))
+    assert not {"EmployeeCount", "Over18", "StandardHours", "Attrition"} & set(out.columns)
