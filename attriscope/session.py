@@ -57,17 +57,25 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    import hashlib
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    target = os.path.join(root, f".attriscope-{app}.zip".replace("/", "_"))
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, root))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha256()
+    for full in files:
+        digest.update(os.path.relpath(full, root).encode())
+        with open(full, "rb") as fh:
+            digest.update(fh.read())
+    # one archive per code version, written atomically (concurrent applications may race)
+    target = os.path.join(root, f".attriscope-{digest.hexdigest()[:16]}.zip")
+    if not os.path.exists(target):
+        tmp = f"{target}.{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for full in files:
+                z.write(full, os.path.relpath(full, root))
+        os.replace(tmp, target)
     sc.addPyFile(target)
     _SHIPPED.add(app)
 
