@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from attriscope.llm.op1_token_counts import op1_token_counts
+from attriscope.llm.op2_cover_tree import op2_cover_tree
+from attriscope.llm.op5_quality_rules import op5_quality_rules
 from attriscope.llm.op7_mixing import OP7_SQL, op7_mixing
 from attriscope.llm.op9_simhash import op9_simhash
+from attriscope.llm.op10_quality_classifier import op10_quality_classifier
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_cover_tree": op2_cover_tree,
+    "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE = {"op7_mixing": OP7_SQL}
