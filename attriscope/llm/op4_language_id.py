@@ -28,7 +28,7 @@ from attriscope.llm.common import annotate, table, texts_of
 
 HIDDEN, STEPS, PIECES = 10, 64, 12
 TRAIN_DOCS, MAX_LANGS = 400, 32
-EPOCHS, BATCH, RATE = 4, 256, 0.02
+EPOCHS, MIN_STEPS, BATCH, RATE = 4, 250, 256, 0.02  # a small sample is gone through more often, for at least MIN_STEPS batches
 SEED = 4
 
 
@@ -152,7 +152,9 @@ def train(runs: list[bytes], y: np.ndarray, langs: list[str], epochs: int = EPOC
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    steps = epochs * -(-len(runs) // BATCH)
+    batches = -(-len(runs) // BATCH)
+    epochs = max(epochs, -(-MIN_STEPS // batches))
+    steps = epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(runs))
         for a in range(0, len(order), BATCH):
