@@ -31,17 +31,33 @@ def pairs(emp: DataFrame) -> DataFrame:
                             "side": F.when(k % 2 == 1, F.lit(1)).otherwise(F.lit(2))})
 
 
-def pair_compare(emp: DataFrame) -> DataFrame:
-    p = pairs(emp).select("pair_id", "side", "EmployeeNumber", "Risk", "MonthlyIncome")
-    a = p.where(F.col("side") == 1).select("pair_id", F.col("EmployeeNumber").alias("emp1"),
-                                             F.col("Risk").alias("risk1"), F.col("MonthlyIncome").alias("inc1"))
-    b = p.where(F.col("side") == 2).select("pair_id", F.col("EmployeeNumber").alias("emp2"),
-                                             F.col("Risk").alias("risk2"), F.col("MonthlyIncome").alias("inc2"))
-    j = a.join(b, "pair_id")
+def side_by_side(emp: DataFrame, columns: list[str], chosen: DataFrame | None = None) -> DataFrame:
+    """(pair_id, emp1, emp2, a, b): the columns of both employees as structs.
+
+    ``chosen(pair_id, emp1, emp2)`` names the pairs; each stays, with nulls where an id is absent.  Without
+    it, employees pair as in :func:`pairs`, complete pairs only, by one join on the pair key.
+    """
+    one = emp.select(F.col("EmployeeNumber").alias("_id"), F.struct(*columns).alias("_row"))
+    if chosen is not None:
+        a = one.select(F.col("_id").alias("emp1"), F.col("_row").alias("a"))
+        b = one.select(F.col("_id").alias("emp2"), F.col("_row").alias("b"))
+        return chosen.join(a, "emp1", "left").join(b, "emp2", "left").select("pair_id", "emp1", "emp2", "a", "b")
+    p = pairs(emp).select("pair_id", "side", F.col("EmployeeNumber").alias("_id"), F.struct(*columns).alias("_row"))
+    a = p.where(F.col("side") == 1).select("pair_id", F.col("_id").alias("emp1"), F.col("_row").alias("a"))
+    b = p.where(F.col("side") == 2).select("pair_id", F.col("_id").alias("emp2"), F.col("_row").alias("b"))
+    return a.join(b, "pair_id").select("pair_id", "emp1", "emp2", "a", "b")
+
+
+def pair_compare(emp: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Risk and loss of both employees of each pair (see :func:`side_by_side`)."""
+    j = side_by_side(emp, ["Risk", "MonthlyIncome"], chosen).select(
+        "pair_id", "emp1", "emp2", F.col("a.Risk").alias("risk1"), F.col("a.MonthlyIncome").alias("inc1"),
+        F.col("b.Risk").alias("risk2"), F.col("b.MonthlyIncome").alias("inc2"))
     return j.select(
         "pair_id", "emp1", "emp2",
         (F.col("risk1") * F.lit(100.0)).alias("risk1_pct"), (F.col("risk2") * F.lit(100.0)).alias("risk2_pct"),
-        expected_loss("risk1", "inc1").alias("cost1"), expected_loss("risk2", "inc2").alias("cost2"),
+        F.when(F.col("risk1").isNotNull(), expected_loss("risk1", "inc1")).alias("cost1"),
+        F.when(F.col("risk2").isNotNull(), expected_loss("risk2", "inc2")).alias("cost2"),
         (F.abs(F.col("risk1") - F.col("risk2")) * F.lit(100.0)).alias("risk_diff_pct"),
         F.when(F.col("risk1") > F.col("risk2"), F.col("emp1")).otherwise(F.col("emp2")).alias("more_risky"),
         F.when(F.col("risk1") > HIGH, F.lit("High")).otherwise(F.lit("Low")).alias("tag1"),
@@ -60,12 +76,13 @@ def pair_metrics_long(emp: DataFrame) -> DataFrame:
     return long.withColumn("label", labels[F.col("metric")])
 
 
-def pair_metrics_table(emp: DataFrame) -> DataFrame:
-    """The long form pivoted back on side: one row per (pair, metric), value_1 / value_2."""
-    long = pair_metrics_long(emp)
-    return (long.groupBy("pair_id", "metric", "label")
-                .pivot("side", [1, 2]).agg(F.first("value"))
-                .withColumnRenamed("1", "value_1").withColumnRenamed("2", "value_2"))
+def pair_metrics_table(emp: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """One row per (pair, metric), value_1 / value_2: both sides joined once, then a fixed fan-out."""
+    both = side_by_side(emp, [m for m, _ in BAR_METRICS], chosen)
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(lab).alias("label"),
+                              F.col(f"a.{m}").cast("double").alias("value_1"),
+                              F.col(f"b.{m}").cast("double").alias("value_2")) for m, lab in BAR_METRICS])
+    return both.select("pair_id", F.inline(rows))
 
 
 def radar_scores(emp: DataFrame) -> DataFrame:
@@ -116,11 +133,11 @@ S_OT, W_OT = "Regular working hours", "Overtime load"
 S_ENV, W_ENV = "Good work-environment satisfaction", "Low work-environment satisfaction"
 S_REL, W_REL = "Good working relationships", "Weak working relationships"
 S_TEN_FMT, W_TEN = "Experienced staff (%d years)", "Low tenure (adaptation risk)"
-ADV_URGENT = "Risk %d%% - urgent intervention needed. "
-ADV_OT = "Remove overtime. "
-ADV_PAY = "Improve pay. "
-ADV_CAREER = "Plan a career development talk."
-ADV_STABLE = "Risk %d%% - employee looks stable. Keep current conditions."
+ADV_URGENT = "May leave (%d%%). "
+ADV_OT = "Cut extra hours. "
+ADV_PAY = "Review salary. "
+ADV_CAREER = "Discuss next steps."
+ADV_STABLE = "Likely to stay (%d%%). Nothing to change."
 
 
 def strengths_weaknesses(emp: DataFrame, median_income: float | None = None) -> DataFrame:

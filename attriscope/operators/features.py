@@ -99,7 +99,7 @@ def fit_features(df: DataFrame, version: str = "v1", exclude=SCORE_COLUMNS, key:
         levels = [r[0] for r in src.select(c).where(F.col(c).isNotNull()).distinct()
                   .limit(max_levels + 1).collect()]
         if len(levels) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; not a categorical column")
+            raise ValueError(f"{c}: more than {max_levels} levels for one column each; use one_hot_long")
         vocab[c] = sorted(levels)
     numeric = [f.name for f in src.schema.fields
                if f.name not in strings and f.name not in (TARGET, key)
@@ -109,6 +109,18 @@ def fit_features(df: DataFrame, version: str = "v1", exclude=SCORE_COLUMNS, key:
     return ff
 
 
+def one_hot_long(df: DataFrame, columns: list[str], key: str = KEY) -> DataFrame:
+    """One-hot encoding in long form, for any number of levels: (key, column_name, level) for each dummy that is 1.
+
+    The first level in sort order of each column is dropped, as in the wide form.  The first levels are
+    one row for each column (a partial aggregate); nothing is collected.
+    """
+    first = df.agg(*[F.min(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("level"), F.col(f"m{i}").alias("first")) for i, c in enumerate(columns)])
+    long = df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in columns if c != key]).crossJoin(F.broadcast(first))  # one row
+    return long.select(key, F.inline(cells)).where(F.col("level") != F.col("first")).drop("first")
+
+
 def drop_for_scoring(df: DataFrame, cols=SCORING_DROP) -> DataFrame:
     """Drop the fixed non-feature columns; absent ones are ignored (``DataFrame.drop`` semantics)."""
     return df.drop(*cols)
@@ -123,9 +135,9 @@ def align_features(df: DataFrame, feature_names: list[str], keep: tuple = (KEY,)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = KEY, seed: int = 42) -> DataFrame:
-    """Fixed-size sample without replacement: the n smallest of an arithmetic hash of the key.
+    """Fixed-size sample without replacement: the n smallest MD5 hashes of seed and key.
 
     A distributed top-n (no full sort); asking for more rows than exist returns all rows.
     """
-    h = (F.col(key) * F.lit(7919) + F.lit(seed)) % F.lit(10007)
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return df.orderBy(h, F.col(key)).limit(n)

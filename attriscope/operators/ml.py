@@ -6,7 +6,7 @@
   space (n_estimators -> maxIter, max_depth -> maxDepth, learning_rate ->
   stepSize, subsample -> subsamplingRate, colsample_bytree ~
   featureSubsetStrategy (per node), min_child_weight ~ minInstancesPerNode,
-  gamma ~ minInfoGain).  Scores therefore differ from the reference's library;
+  gamma ~ minInfoGain times the number of training rows: a loss sum there, a gain a row here).  Scores therefore differ from the reference's library;
   tests check properties.
 * Cross-validation resamples inside each training fold only (SMOTE / SMOTE-Tomek
   on the fold's training rows), which a Pipeline stage cannot do because stages
@@ -19,13 +19,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +68,19 @@ def random_forest(features: list[str], label: str = LABEL, seed: int = 42, num_t
     return Pipeline(stages=[assembler(features), rf])
 
 
-def gbt_from_params(features: list[str], params: dict, label: str = LABEL, seed: int = 42) -> Pipeline:
-    frac = params.get("colsample_bytree", 1.0)
+def gbt_from_params(features: list[str], params: dict, label: str = LABEL, seed: int = 42, n_rows: int | None = None) -> Pipeline:
+    """``n_rows``, the number of training rows, scales gamma and is needed when gamma is not 0."""
+    frac, gamma, depth = params.get("colsample_bytree", 1.0), float(params.get("gamma", 0.0)), int(params.get("max_depth", 6))
+    if gamma and not n_rows:
+        raise ValueError("gamma needs n_rows")
+    if depth > 30:
+        raise ValueError("max_depth is at most 30")
     gbt = GBTClassifier(
         featuresCol="features", labelCol=label, seed=seed,
-        maxIter=int(params.get("n_estimators", 100)), maxDepth=min(30, int(params.get("max_depth", 6))),
+        maxIter=int(params.get("n_estimators", 100)), maxDepth=depth,
         stepSize=float(params.get("learning_rate", 0.1)), subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy="all" if frac >= 1.0 else f"{frac:.6f}",
-        minInstancesPerNode=int(params.get("min_child_weight", 1)), minInfoGain=float(params.get("gamma", 0.0)),
+        minInstancesPerNode=int(params.get("min_child_weight", 1)), minInfoGain=gamma / n_rows if gamma else 0.0,
         maxMemoryInMB=1024)
     return Pipeline(stages=[assembler(features), gbt])
 
@@ -95,12 +101,12 @@ def fit_and_score(pipeline: Pipeline, train: DataFrame, test: DataFrame) -> Data
 
 
 def draw_trials(space: dict, n_trials: int, seed: int = 42) -> list[dict]:
-    """Seeded trial table: integer, uniform and log-uniform draws from an arithmetic hash."""
+    """Seeded trial table: integer, uniform and log-uniform draws, each from its own hash of (seed, trial, name)."""
     trials = []
     for t in range(n_trials):
         p = {}
-        for i, (name, (kind, lo, hi)) in enumerate(sorted(space.items())):
-            u = ((seed * 1000003 + t * 7919 + i * 104729) * 2654435761 % 4294967296) / 4294967296.0
+        for name, (kind, lo, hi) in sorted(space.items()):
+            u = int(hashlib.md5(f"{seed}:{t}:{name}".encode()).hexdigest()[:8], 16) / 4294967296.0
             if kind == "int":
                 p[name] = int(lo + math.floor(u * (hi - lo + 1)))
             elif kind == "log":
@@ -124,8 +130,10 @@ def resample_fold(train: DataFrame, features: list[str], id_col: str, method: st
         res = smote_resample(pts, LABEL, 1, 5, id_col=id_col, vec_col="vec")
     elif method == "smote_tomek":
         res = smote_tomek(pts, LABEL, 1, 5, id_col=id_col, vec_col="vec")
-    else:
+    elif method == "none":
         return train
+    else:
+        raise ValueError(f"unknown resampling method {method}")
     cols = [F.col("vec")[i].alias(c) for i, c in enumerate(features)]
     return res.select(id_col, F.col(LABEL).cast("int").alias(LABEL), *cols)
 
@@ -133,14 +141,29 @@ def resample_fold(train: DataFrame, features: list[str], id_col: str, method: st
 def cross_val_f1(folds: DataFrame, features: list[str], params: dict, id_col: str, k: int = 5,
                  resample: str = "smote", seed: int = 42) -> float:
     """Mean F1 over k folds; resampling sees only each fold's training rows."""
-    scores = []
+    return _mean_f1(fold_sets(folds, features, id_col, k, resample), features, params, seed)
+
+
+def fold_sets(folds: DataFrame, features: list[str], id_col: str, k: int = 5, resample: str = "smote") -> list[tuple]:
+    """(resampled training rows, their number, validation rows) of each fold, checkpointed: made once, used by all trials."""
+    out = []
     for f in range(k):
-        tr = folds.where(F.col("fold") != f)
-        va = folds.where(F.col("fold") == f)
-        tr = resample_fold(tr, features, id_col, resample)
-        scored, _ = fit_and_score(gbt_from_params(features, params, seed=seed), tr, va)
-        m = binary_metrics(scored, LABEL, "prediction").first()
-        scores.append(m["f1"])
+        tr = resample_fold(folds.where(F.col("fold") != f), features, id_col, resample).checkpoint(eager=True)
+        out.append((tr, tr.count(), folds.where(F.col("fold") == f)))
+    return out
+
+
+def cv_fold_metrics(sets: list[tuple], features: list[str], params: dict, seed: int = 42) -> list:
+    """The binary metrics of each fold's model on its validation rows."""
+    rows = []
+    for tr, n, va in sets:
+        scored, _ = fit_and_score(gbt_from_params(features, params, seed=seed, n_rows=n), tr, va)
+        rows.append(binary_metrics(scored, LABEL, "prediction").first())
+    return rows
+
+
+def _mean_f1(sets: list[tuple], features: list[str], params: dict, seed: int) -> float:
+    scores = [m["f1"] for m in cv_fold_metrics(sets, features, params, seed)]
     return sum(scores) / len(scores)
 
 
@@ -149,10 +172,10 @@ def random_search(folds: DataFrame, features: list[str], id_col: str, space: dic
                   parallelism: int = 1) -> DataFrame:
     """Trial table with mean CV F1 per trial; the best trial is the row with the highest F1."""
     trials = draw_trials(space, n_trials, seed)
-    folds = folds.checkpoint(eager=True)
+    sets = fold_sets(folds.checkpoint(eager=True), features, id_col, k, resample)
 
     def run(t):
-        return cross_val_f1(folds, features, trials[t], id_col, k, resample, seed)
+        return _mean_f1(sets, features, trials[t], seed)
 
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as ex:
@@ -175,7 +198,3 @@ def feature_importances(model, features: list[str]) -> DataFrame:
     spark = SparkSession.getActiveSession()
     rows = sorted(((features[i], float(imp[i])) for i in range(len(features))), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(rows)], "rank int, feature string, importance double")
-
-
-def vectors_from_arrays(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, array_to_vector(F.col(col)))

@@ -32,11 +32,6 @@ def _missing(df: DataFrame, c: str):
     return col.isNull()
 
 
-def _unpivot_row(row_df: DataFrame, names: list[str], prefix: str, key: str, value: str) -> DataFrame:
-    stack = ", ".join(f"'{c}', `{prefix}{i}`" for i, c in enumerate(names))
-    return row_df.select(F.expr(f"stack({len(names)}, {stack}) as ({key}, {value})"))
-
-
 def null_profile(df: DataFrame) -> DataFrame:
     """Per column: missing count, percent (2 dp, half-even) and whether any is missing."""
     cols = df.columns
@@ -46,7 +41,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     # grand total over the per-column rows (one row per column, not per data row)
     return long.select(
         "column_name", "ordinal", "null_count",
-        F.bround(F.col("null_count") * F.lit(100.0) / F.col("_n"), 2).alias("null_pct"),
+        F.bround(F.try_divide(F.col("null_count") * F.lit(100.0), F.col("_n")), 2).alias("null_pct"),
         (F.col("null_count") > 0).alias("has_missing"),
         F.sum("null_count").over(Window.partitionBy()).alias("total_nulls"))
 
@@ -58,6 +53,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     stats = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
+        x = F.when(~F.isnan(x), x)  # NaN is missing
         stats += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                   F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     r = df.agg(*stats).collect()[0]
@@ -122,7 +118,7 @@ def zero_variance_columns(df: DataFrame) -> DataFrame:
     cols = df.columns
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`")
+        x = F.when(~_missing(df, c), F.col(f"`{c}`"))
         aggs += [F.min(x).cast("string").alias(f"lo{i}"), F.max(x).cast("string").alias(f"hi{i}")]
     row = df.agg(*aggs)
     stack = ", ".join(f"'{c}', {i}, `lo{i}`, `hi{i}`" for i, c in enumerate(cols))

@@ -6,11 +6,10 @@ is not exact.  This operator finds exact order statistics by distributed
 selection:
 
 1. one aggregate gives ``n``, ``min`` and ``max`` per group;
-2. while a target's candidate range still holds more than ``max_bracket``
-   values, one aggregate pass counts the values of the range in ``buckets``
-   equal-width buckets (with each bucket's min / max); the bucket that holds
-   the wanted rank becomes the new range;
-3. the final range (at most ``max_bracket`` values) is fetched sorted.
+2. while a target's candidate range holds more than one distinct value, one
+   aggregate pass counts the values of the range in ``buckets`` equal-width
+   buckets (with each bucket's min / max; infinities have buckets of their
+   own); the bucket that holds the wanted rank becomes the new range.
 
 Each pass is a partial (map-side) aggregation with a bounded result
 (targets x buckets rows).  Quantiles interpolate linearly between the order
@@ -25,7 +24,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BRACKET = 100_000
 BUCKETS = 4096
 
 
@@ -36,7 +34,7 @@ def _clean(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str, ranks_fn, by: list[str] | None = None,
-                     max_bracket: int = MAX_BRACKET, buckets: int = BUCKETS) -> dict:
+                     buckets: int = BUCKETS) -> dict:
     """Exact order statistics per group.
 
     ``ranks_fn(n) -> iterable of 0-based ranks`` gives the ranks wanted for a
@@ -60,15 +58,20 @@ def order_statistics(df: DataFrame, value: str, ranks_fn, by: list[str] | None =
             state[(g, k)] = [r["lo"], r["hi"], 0, n]  # lo, hi, below, count in [lo,hi]
 
     spark = df.sparkSession
-    key_schema = ", ".join(f"`{b}` {data.schema[b].dataType.simpleString()}" for b in by)
+    key_schema = ", ".join(f"_k{i} {data.schema[b].dataType.simpleString()}" for i, b in enumerate(by))
 
     def _targets_df(items):
         rows = [tuple(g) + (tid, lo, hi) for tid, (g, lo, hi) in items]
         schema = key_schema + ", _tid int, _lo double, _hi double"
         return spark.createDataFrame(rows, schema)
 
-    for _ in range(200):
-        open_targets = {t: s for t, s in state.items() if s[0] != s[1] and s[3] > max_bracket}
+    same = None  # null is a group of its own
+    for i in range(len(by)):
+        eq = F.col(by[i]).eqNullSafe(F.col(f"_k{i}"))
+        same = eq if same is None else same & eq
+
+    while True:
+        open_targets = {t: s for t, s in state.items() if s[0] != s[1]}
         if not open_targets:
             break
         # distinct ranges still to split (targets of one group often share one)
@@ -77,10 +80,16 @@ def order_statistics(df: DataFrame, value: str, ranks_fn, by: list[str] | None =
             ranges.setdefault((g, lo, hi), []).append(k)
         items = list(enumerate((g, lo, hi) for (g, lo, hi) in ranges))
         tdf = _targets_df(items)  # bounded: one row per open range
-        width = (F.col("_hi") - F.col("_lo"))
-        b = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(float(buckets))).cast("int"),
-                    F.lit(buckets - 1))
-        joined = data.join(F.broadcast(tdf), on=by, how="inner")
+        # halves, so that the width of a finite range cannot overflow; infinite ends count as the largest double
+        big = F.lit(1.7976931348623157e308)
+        lo, hi = F.greatest("_lo", -big), F.least("_hi", big)
+        share = (F.col("_v") / 2 - lo / 2) / (hi / 2 - lo / 2)
+        inner = F.least(F.floor(share * F.lit(float(buckets))).cast("int"), F.lit(buckets - 1))
+        # a range too narrow to divide: its lowest value against the rest
+        inner = F.when(hi / 2 - lo / 2 > 0, inner).otherwise(F.lit(0))
+        b = (F.when(F.col("_v") == F.lit(float("-inf")), F.lit(-2)).when(F.col("_v") == F.lit(float("inf")), F.lit(buckets))
+              .when(F.col("_v") == F.col("_lo"), F.lit(-1)).otherwise(inner))
+        joined = data.join(F.broadcast(tdf), on=same, how="inner")
         hist = (joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
                       .groupBy("_tid", b.alias("_b"))
                       .agg(F.count("*").alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
@@ -100,25 +109,8 @@ def order_statistics(df: DataFrame, value: str, ranks_fn, by: list[str] | None =
                         break
                     acc += c
 
-    # finalize: constant ranges directly, others by fetching the (bounded) range sorted
-    fetch = {}
     for (g, k), (lo, hi, below, cnt) in state.items():
-        if lo == hi:
-            result[g]["values"][k] = lo
-        else:
-            fetch.setdefault((g, lo, hi), []).append((k, below))
-    if fetch:
-        items = list(enumerate(fetch))
-        tdf = _targets_df([(tid, key) for tid, key in items])
-        joined = data.join(F.broadcast(tdf), on=by, how="inner")
-        vals = (joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                      .groupBy("_tid").agg(F.sort_array(F.collect_list("_v")).alias("vs")).collect())
-        got = {r["_tid"]: r["vs"] for r in vals}
-        for tid, key in items:
-            g = key[0]
-            vs = got[tid]
-            for k, below in fetch[key]:
-                result[g]["values"][k] = vs[k - below]
+        result[g]["values"][k] = lo
     if not grouped:
         result = {(): v for v in result.values()}
     return result

@@ -73,6 +73,51 @@ def what_if_grid(emp: DataFrame, scenarios=WHAT_IF_SCENARIOS, score=formula_risk
     })
 
 
+WHAT_IF_COLUMNS = ["MonthlyIncome", "JobRole", "OverTime", "JobSatisfaction", "DistanceFromHome"]
+
+
+def model_what_if_grid(emp: DataFrame, scorer, scenarios=WHAT_IF_SCENARIOS) -> DataFrame:
+    """:func:`what_if_grid` on any scorer; the scenario named ``baseline`` is the current state."""
+    names = ["scenario"] + [f"s_{c}" for c in WHAT_IF_COLUMNS]
+    types = ["string"] + [emp.schema[c].dataType.simpleString() for c in WHAT_IF_COLUMNS]
+    grid = emp.select("*", F.inline(_array_of(scenarios, names, types)))
+    cases = grid.withColumns({c: F.coalesce(F.col(f"s_{c}"), F.col(c)) for c in WHAT_IF_COLUMNS})
+    sim = scorer(cases.select("scenario", *[c for c in emp.columns if c != "Risk"]))
+    keep = ["EmployeeNumber", "scenario", *WHAT_IF_COLUMNS]
+    sim = sim.select(*keep, F.col("Risk").alias("sim_prob"), expected_loss("Risk", "MonthlyIncome").alias("sim_loss"))
+    now = sim.where("scenario = 'baseline'").select("EmployeeNumber", F.col("sim_prob").alias("current_prob"), F.col("sim_loss").alias("current_loss"))
+    return sim.join(now, "EmployeeNumber").withColumns({
+        "delta_pct": (F.col("sim_prob") - F.col("current_prob")) * F.lit(100.0),
+        "delta_loss": F.col("sim_loss") - F.col("current_loss"),
+        "zone": gauge_zone(F.col("sim_prob") * F.lit(100.0)),
+    })
+
+
+def model_intervention_roi(emp: DataFrame, scorer, packages=PACKAGES) -> DataFrame:
+    """:func:`intervention_roi` on any scorer: income, overtime, satisfaction and environment overrides reach it."""
+    names = ["package", "raise_yearly", "overtime_off", "mentoring"]
+    packages = [("_now", 0.0, False, False), *packages]
+    grid = emp.select("*", F.inline(_array_of(packages, names, ["string", "double", "boolean", "boolean"])))
+
+    def better(c):
+        return F.when(F.col("mentoring"), F.least(F.lit(4), F.col(c) + F.lit(1))).otherwise(F.col(c)).cast(emp.schema[c].dataType)
+
+    cases = grid.withColumns({
+        "MonthlyIncome": F.col("MonthlyIncome") + F.col("raise_yearly") / F.lit(12),
+        "OverTime": F.when(F.col("overtime_off"), F.lit("No")).otherwise(F.col("OverTime")),
+        "JobSatisfaction": better("JobSatisfaction"),
+        "EnvironmentSatisfaction": better("EnvironmentSatisfaction"),
+    })
+    after = scorer(cases.select(*names, *[c for c in emp.columns if c != "Risk"]))
+    after = after.select("EmployeeNumber", *names, F.col("Risk").alias("prob_after"), expected_loss("Risk", "MonthlyIncome").alias("loss_after"))
+    now = after.where("package = '_now'").select("EmployeeNumber", F.col("prob_after").alias("prob_before"), F.col("loss_after").alias("loss_before"))
+    out = after.where("package <> '_now'").join(now, "EmployeeNumber")
+    cost = F.col("raise_yearly") + F.when(F.col("overtime_off"), OVERTIME_OFF_COST).otherwise(0.0) + F.when(F.col("mentoring"), MENTORING_COST).otherwise(0.0)
+    out = out.withColumn("investment", cost).withColumn("saving", F.col("loss_before") - F.col("loss_after"))
+    return out.select("EmployeeNumber", "package", "prob_before", "prob_after", "loss_before", "loss_after", "investment", "saving",
+                      F.when(F.col("investment") > 0, roi("saving", "investment")).otherwise(F.lit(0.0)).alias("roi_pct"))
+
+
 def intervention_roi(emp: DataFrame, packages=PACKAGES, score=formula_risk) -> DataFrame:
     """Per employee and package: probabilities, losses, costs, saving, ROI, saving per dollar, verdict."""
     names = ["package", "raise_yearly", "overtime_off", "mentoring"]

@@ -1,7 +1,7 @@
 """Exact stratified hold-out split and stratified k folds, seeded.
 
 Within each class rows are ordered by an arithmetic hash of the key
-``(key * 7919 + seed) % 10007`` (then the key), so any engine reproduces the
+``(pmod(key, 10007) * 7919 + seed) % 10007`` (then the key), so any engine reproduces the
 order.  The rank inside the class comes from :func:`global_rank` (a
 distributed sort; a hot class is spread over many partitions), never from a
 ``row_number`` window partitioned by class.
@@ -17,7 +17,7 @@ from attriscope.operators.ranking import global_rank
 
 
 def hash_order(key: str, seed: int = 42):
-    return (F.col(key) * F.lit(7919) + F.lit(seed)) % F.lit(10007)
+    return F.pmod(F.pmod(F.col(key), F.lit(10007)) * F.lit(7919) + F.lit(seed), F.lit(10007))  # reduced first: no overflow
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction=(1, 5), seed: int = 42) -> DataFrame:

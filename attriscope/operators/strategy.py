@@ -12,21 +12,20 @@ from attriscope.operators.talent import potential_score
 # Fixed severity cut-offs and advice texts of the action plan.
 URGENT, IMPORTANT = 0.35, 0.25
 ADVICE = {
-    "urgent": "Urgent: one-to-one meetings, salary review and a flexible working model.",
-    "important": "Important: satisfaction survey, career development plan and team events.",
-    "controlled": "Risk under control: keep current conditions and keep monitoring.",
+    "urgent": "Act this month: talk to each person, check pay against the market, loosen fixed hours.",
+    "important": "Act this quarter: ask what is missing, agree growth steps, strengthen the team.",
+    "controlled": "No action due: look at the figures again next quarter.",
 }
 # Fixed strategy rule texts (rule order is the report order).
 GATE = 5
-T_PAY = "Urgent - pay improvement: %d low-paid at-risk employees should get a 10%% raise. Estimated yearly cost: $%s"
-T_OT = ("Priority - overtime management: %d overtime workers are at high risk. "
-        "Flexible working and time off in lieu are advised.")
-T_DEPT = "Department focus: start a retention programme in the %s department."
-T_YOUNG = "Young talent programme: %d young employees are at risk. Set up mentoring and career plans."
-T_GENERAL = "General: company mean risk is %s%%. %s"
-MSG_OK = "Risk level is acceptable."
-MSG_URGENT = "Risk level is high, urgent action needed!"
-MSG_MEDIUM = "Risk is moderate, keep preventive measures."
+T_PAY = "Pay: lift the salaries of %d people below the median who may leave by 10%%; this costs about $%s a year"
+T_OT = "Hours: %d people with regular overtime are likely to leave; cut or compensate the extra hours."
+T_DEPT = "Where to begin: mean risk is highest in %s."
+T_YOUNG = "Under thirty: %d people may leave; give each a mentor and a next step."
+T_GENERAL = "Overall mean risk: %s%%. %s"
+MSG_OK = "This is within the target."
+MSG_URGENT = "This is far above the target."
+MSG_MEDIUM = "This is somewhat above the target."
 
 
 def severity(avg):
@@ -61,7 +60,7 @@ def strategy_report(emp: DataFrame, median_income: float | None = None) -> DataF
     riskiest = (emp.where(F.col("Department").isNotNull()).groupBy("Department").agg(F.avg("Risk").alias("m"))
                    .agg(F.min_by("Department", F.struct(-F.col("m"), F.col("Department"))).alias("riskiest"))
                    .first()["riskiest"])  # one value
-    a = a.withColumn("riskiest", F.lit(riskiest))
+    a = a.withColumn("riskiest", F.lit(riskiest).cast("string"))
     cost = F.bround(F.col("low_inc_sum") * F.lit(0.1) * F.lit(12.0), 0).cast("long")
     avg_pct = F.bround(F.col("avg_risk") * F.lit(100.0), 1).cast("string")
     def rule(i, topic, on, text):
@@ -71,9 +70,9 @@ def strategy_report(emp: DataFrame, median_income: float | None = None) -> DataF
         rule(1, "pay", F.col("n_low_inc") > GATE,
              F.format_string(T_PAY, F.col("n_low_inc"), F.format_number(cost, 0))),
         rule(2, "overtime", F.col("n_ot") > GATE, F.format_string(T_OT, F.col("n_ot"))),
-        rule(3, "department", F.lit(True), F.format_string(T_DEPT, F.col("riskiest"))),
+        rule(3, "department", F.col("riskiest").isNotNull(), F.format_string(T_DEPT, F.col("riskiest"))),
         rule(4, "youth", F.col("n_young") > GATE, F.format_string(T_YOUNG, F.col("n_young"))),
-        rule(5, "general", F.lit(True), F.format_string(T_GENERAL, avg_pct, company_message(F.col("avg_risk")))),
+        rule(5, "general", F.col("avg_risk").isNotNull(), F.format_string(T_GENERAL, avg_pct, company_message(F.col("avg_risk")))),
     )
     on = F.filter(rules, lambda x: x["on"])
     # number the emitted rules in rule order (positions inside the one-row array)

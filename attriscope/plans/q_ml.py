@@ -157,16 +157,72 @@ def q_model_department_profile(spark, sf):
 
     ff, _, _ = _train_test(spark, sf)
     emp = E(spark, sf).drop("Risk")
-    scored = ML.positive_probability(_forest(spark, sf).transform(ff.transform(emp, keep=("EmployeeNumber",))))
-    scored_emp = emp.join(scored.select("EmployeeNumber", F.col("prob").alias("Risk")), "EmployeeNumber")
-    return department_profile(scored_emp)
+    # the employee row travels through the model in a struct: no join of the table with its own scores
+    mat = ff.transform(emp.withColumn("_emp", F.struct(*emp.columns)), keep=("_emp",))
+    scored = ML.positive_probability(_forest(spark, sf).transform(mat))
+    return department_profile(scored.select("_emp.*", F.col("prob").alias("Risk")))
+
+
+def _forest_scorer(spark, sf):
+    """The trained forest as a scorer: rows with inputs in, the same rows with Risk out (no join)."""
+    ff, _, _ = _train_test(spark, sf)
+    model = _forest(spark, sf)
+
+    def score(df):
+        mat = ff.transform(df.withColumn("_emp", F.struct(*df.columns)), keep=("_emp",), with_label=False)
+        return ML.positive_probability(model.transform(mat)).select("_emp.*", F.col("prob").alias("Risk"))
+
+    return score
+
+
+# Fixed scenarios that use all five overrides.
+MODEL_SCENARIOS = [
+    ("baseline", None, None, None, None, None),
+    ("other_role", None, "Manager", None, None, None),
+    ("far_away", None, None, None, None, 29),
+    ("all", 10000.0, "Manager", "No", 4, 1),
+]
+
+
+@query("model_what_if_grid")
+def q_model_what_if_grid(spark, sf):
+    """What-if scenarios rescored by the trained forest."""
+    from attriscope.operators.scenario import model_what_if_grid
+
+    return model_what_if_grid(E(spark, sf), _forest_scorer(spark, sf), MODEL_SCENARIOS)
+
+
+@query("model_intervention_roi")
+def q_model_intervention_roi(spark, sf):
+    """Intervention packages rescored by the trained forest."""
+    from attriscope.operators.scenario import model_intervention_roi
+
+    return model_intervention_roi(E(spark, sf), _forest_scorer(spark, sf))
+
+
+_FIXED = ("0.3E0 + 0.2E0 * (CASE WHEN OverTime = 'Yes' THEN 1E0 ELSE 0E0 END) + 0.1E0 * (CASE WHEN JobRole = 'Manager' THEN 1E0 ELSE 0E0 END) "
+          "+ 0.01E0 * DistanceFromHome - 0.05E0 * JobSatisfaction - 0.00001E0 * MonthlyIncome")
+
+
+@query("what_if_all_overrides", with_v(f"""
+SELECT EmployeeNumber, scenario, ROUND({_FIXED}, 6) AS sim_prob
+FROM (SELECT v.EmployeeNumber, s.scenario, COALESCE(s_i, MonthlyIncome) AS MonthlyIncome, COALESCE(s_r, JobRole) AS JobRole,
+             COALESCE(s_o, OverTime) AS OverTime, COALESCE(s_s, JobSatisfaction) AS JobSatisfaction, COALESCE(s_d, DistanceFromHome) AS DistanceFromHome
+      FROM v, (VALUES ('baseline', NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR, NULL::INT, NULL::INT), ('other_role', NULL, 'Manager', NULL, NULL, NULL),
+               ('far_away', NULL, NULL, NULL, NULL, 29), ('all', 10000.0, 'Manager', 'No', 4, 1)) s(scenario, s_i, s_r, s_o, s_s, s_d))"""))
+def q_what_if_all_overrides(spark, sf):
+    """All five overrides reach a scorer with fixed coefficients."""
+    from attriscope.operators.scenario import model_what_if_grid
+
+    out = model_what_if_grid(E(spark, sf), lambda df: df.withColumn("Risk", F.expr(_FIXED)), MODEL_SCENARIOS)
+    return out.select("EmployeeNumber", "scenario", F.round("sim_prob", 6).alias("sim_prob"))
 
 
 @query("tree_shap")
 def q_tree_shap(spark, sf):
-    """TreeSHAP of the boosted trees (margin space) over a seeded 100-row sample of the hold-out."""
-    ff, _, te = _train_test(spark, sf, "v2")
-    sample = seeded_sample(te, 100)
+    """TreeSHAP of the boosted trees (margin space) over a seeded 100-row sample of the whole matrix."""
+    ff, tr, te = _train_test(spark, sf, "v2")
+    sample = seeded_sample(tr.unionByName(te), 100).repartition(8, "EmployeeNumber")
     shap, base = tree_shap(sample, _gbt(spark, sf).stages[-1], ff.feature_names, "EmployeeNumber", "gbt")
     return shap.withColumn("base_value", F.lit(base))
 

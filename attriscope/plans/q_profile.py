@@ -165,8 +165,18 @@ def q_align_features(spark, sf):
     return FE.align_features(v1, v2.feature_names)
 
 
+@query("one_hot_long", """WITH o AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus FROM orders),
+m AS (SELECT MIN(day) AS d, MIN(o_orderstatus) AS p FROM o)
+SELECT o_orderkey, 'day' AS column_name, day AS level FROM o, m WHERE day <> d
+UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus FROM o, m WHERE o_orderstatus <> p""")
+def q_one_hot_long(spark, sf):
+    """One-hot encoding of columns with any number of levels (over 1,000 order days)."""
+    orders = load(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date").cast("string"))
+    return FE.one_hot_long(orders, ["day", "o_orderstatus"], key="o_orderkey")
+
+
 @query("seeded_sample", with_v("""
 SELECT EmployeeNumber, Department, ROUND(Risk, 6) AS Risk FROM v
-ORDER BY (EmployeeNumber * 7919 + 42) % 10007, EmployeeNumber LIMIT 100"""))
+ORDER BY md5(concat('42:', CAST(EmployeeNumber AS VARCHAR))), EmployeeNumber LIMIT 100"""))
 def q_seeded_sample(spark, sf):
     return round_cols(FE.seeded_sample(E(spark, sf), 100).select("EmployeeNumber", "Department", "Risk"), {"Risk": 6})

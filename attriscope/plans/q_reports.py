@@ -1,5 +1,7 @@
 """Composite report queries."""
 
+from pyspark.sql import functions as F
+
 from attriscope.operators import compare as C
 from attriscope.operators import scenario as S
 from attriscope.operators import strategy as ST
@@ -122,6 +124,17 @@ def q_roi_waterfall(spark, sf):
     return round_cols(S.roi_waterfall(E(spark, sf)), {"new_loss": 2, "amount": 2, "running_level": 2})
 
 
+def _text(template, *args):
+    """SQL of a printf-style text."""
+    parts = template.replace("%%", "\0").replace("%d", "%s").split("%s")
+    out = [f"'{p}'".replace("\0", "%") for p in parts]
+    for i, a in enumerate(args):
+        out.insert(2 * i + 1, a)
+    return " || ".join(out)
+
+
+_MESSAGE = f"CASE WHEN avg_risk < 0.25E0 THEN '{ST.MSG_OK}' WHEN avg_risk > 0.35E0 THEN '{ST.MSG_URGENT}' ELSE '{ST.MSG_MEDIUM}' END"
+
 _PAIRS = ("a AS (SELECT * FROM v WHERE EmployeeNumber % 2 = 1), "
           "b AS (SELECT * FROM v WHERE EmployeeNumber % 2 = 0)")
 
@@ -139,6 +152,24 @@ def q_pair_compare(spark, sf):
                       {"risk1_pct": 6, "risk2_pct": 6, "cost1": 2, "cost2": 2, "risk_diff_pct": 6})
 
 
+@query("pair_compare_chosen", with_v(f"""
+SELECT p.id AS pair_id, p.id AS emp1, p.id + 5 AS emp2,
+       ROUND(a.Risk * 100E0, 6) AS risk1_pct, ROUND(b.Risk * 100E0, 6) AS risk2_pct,
+       ROUND({loss_sql('a.Risk', 'a.MonthlyIncome')}, 2) AS cost1,
+       ROUND(CASE WHEN b.Risk IS NOT NULL THEN {loss_sql('b.Risk', 'b.MonthlyIncome')} END, 2) AS cost2,
+       ROUND(ABS(a.Risk - b.Risk) * 100E0, 6) AS risk_diff_pct,
+       CASE WHEN a.Risk > b.Risk THEN p.id ELSE p.id + 5 END AS more_risky,
+       CASE WHEN a.Risk > 0.5E0 THEN 'High' ELSE 'Low' END AS tag1, CASE WHEN b.Risk > 0.5E0 THEN 'High' ELSE 'Low' END AS tag2
+FROM (SELECT EmployeeNumber AS id FROM v) p JOIN v a ON a.EmployeeNumber = p.id LEFT JOIN v b ON b.EmployeeNumber = p.id + 5"""))
+def q_pair_compare_chosen(spark, sf):
+    """A table of chosen pairs (each employee and the one five ids on); pairs without a second row stay."""
+    emp = E(spark, sf)
+    k = F.col("EmployeeNumber")
+    chosen = emp.select(k.alias("pair_id"), k.alias("emp1"), (k + 5).alias("emp2"))
+    return round_cols(C.pair_compare(emp, chosen),
+                      {"risk1_pct": 6, "risk2_pct": 6, "cost1": 2, "cost2": 2, "risk_diff_pct": 6})
+
+
 _LONG = "\nUNION ALL ".join(
     f"SELECT pair_id, side, EmployeeNumber, '{m}' AS metric, CAST({m} AS DOUBLE) AS value, '{lab}' AS label FROM p"
     for m, lab in C.BAR_METRICS)
@@ -233,11 +264,11 @@ def q_strengths_weaknesses(spark, sf):
 
 @query("action_advice", with_v(f"""
 SELECT EmployeeNumber, pct AS risk_pct,
-       CASE WHEN Risk > 0.5E0 THEN 'Risk ' || pct || '% - urgent intervention needed. '
+       CASE WHEN Risk > 0.5E0 THEN {_text(C.ADV_URGENT, 'pct')}
             || CASE WHEN OverTime = 'Yes' THEN '{C.ADV_OT}' ELSE '' END
             || CASE WHEN MonthlyIncome < {MEDIAN_SQL} THEN '{C.ADV_PAY}' ELSE '' END
             || CASE WHEN JobSatisfaction <= 2 THEN '{C.ADV_CAREER}' ELSE '' END
-            ELSE 'Risk ' || pct || '% - employee looks stable. Keep current conditions.' END AS advice
+            ELSE {_text(C.ADV_STABLE, 'pct')} END AS advice
 FROM (SELECT *, CAST(ROUND_EVEN(Risk * 100E0, 0) AS INT) AS pct FROM v)"""))
 def q_action_advice(spark, sf):
     return C.action_advice(E(spark, sf))
@@ -264,15 +295,11 @@ def q_department_actions(spark, sf):
 @query("strategy_report", with_v(f"""
 SELECT CAST(ROW_NUMBER() OVER (ORDER BY rule) AS INT) AS item, topic, text FROM (
   SELECT 1 AS rule, 'pay' AS topic, n_low_inc > 5 AS on_,
-         'Urgent - pay improvement: ' || n_low_inc || ' low-paid at-risk employees should get a 10% raise. Estimated yearly cost: $'
-         || format('{{:,}}', CAST(ROUND_EVEN(low_inc_sum * 0.1E0 * 12E0, 0) AS BIGINT)) AS text FROM a
-  UNION ALL SELECT 2, 'overtime', n_ot > 5, 'Priority - overtime management: ' || n_ot
-         || ' overtime workers are at high risk. Flexible working and time off in lieu are advised.' FROM a
-  UNION ALL SELECT 3, 'department', TRUE, 'Department focus: start a retention programme in the ' || riskiest || ' department.' FROM a
-  UNION ALL SELECT 4, 'youth', n_young > 5, 'Young talent programme: ' || n_young
-         || ' young employees are at risk. Set up mentoring and career plans.' FROM a
-  UNION ALL SELECT 5, 'general', TRUE, 'General: company mean risk is ' || CAST(ROUND_EVEN(avg_risk * 100E0, 1) AS VARCHAR) || '%. '
-         || CASE WHEN avg_risk < 0.25E0 THEN '{ST.MSG_OK}' WHEN avg_risk > 0.35E0 THEN '{ST.MSG_URGENT}' ELSE '{ST.MSG_MEDIUM}' END FROM a
+         {_text(ST.T_PAY, 'n_low_inc', "format('{:,}', CAST(ROUND_EVEN(low_inc_sum * 0.1E0 * 12E0, 0) AS BIGINT))")} AS text FROM a
+  UNION ALL SELECT 2, 'overtime', n_ot > 5, {_text(ST.T_OT, 'n_ot')} FROM a
+  UNION ALL SELECT 3, 'department', TRUE, {_text(ST.T_DEPT, 'riskiest')} FROM a
+  UNION ALL SELECT 4, 'youth', n_young > 5, {_text(ST.T_YOUNG, 'n_young')} FROM a
+  UNION ALL SELECT 5, 'general', TRUE, {_text(ST.T_GENERAL, 'CAST(ROUND_EVEN(avg_risk * 100E0, 1) AS VARCHAR)', _MESSAGE)} FROM a
 ) WHERE on_""", f"""a AS (SELECT
     SUM(CASE WHEN MonthlyIncome < {MEDIAN_SQL} AND Risk > 0.4E0 THEN 1 ELSE 0 END) AS n_low_inc,
     COALESCE(SUM(CASE WHEN MonthlyIncome < {MEDIAN_SQL} AND Risk > 0.4E0 THEN MonthlyIncome END), 0E0) AS low_inc_sum,

@@ -25,6 +25,24 @@ def q_scan_roundtrip(spark, sf):
     return FI.read_csv(spark, path)
 
 
+def _reordered(spark, sf, name):
+    """The roster as CSV with its columns reversed and two more among them."""
+    raw = _raw(spark, sf).select(F.lit("x").alias("Extra1"), *RAW_COLUMNS[::-1], F.lit(9).alias("Extra2"))
+    return FI.write_csv(raw, work_path(spark, name))
+
+
+@query("scan_reordered", with_v(f"SELECT {_RAW_SQL} FROM v"))
+def q_scan_reordered(spark, sf):
+    """Columns of a CSV are found by header name, whatever their order."""
+    return FI.read_csv(spark, _reordered(spark, sf, "roster-reordered"))
+
+
+@query("roster_reordered", with_v(f"""
+SELECT EmployeeNumber, JobRole, Department, ROUND_EVEN(Risk * 100E0, 2) AS {SC.RISK_PCT} FROM v"""))
+def q_roster_reordered(spark, sf):
+    return SC.score_roster(FI.read_csv(spark, _reordered(spark, sf, "upload-reordered")))[0]
+
+
 @query("entity_lookup", with_v("SELECT * FROM v WHERE EmployeeNumber = 7"))
 def q_entity_lookup(spark, sf):
     return FI.lookup_entity(spark, E(spark, sf), 7)

@@ -15,5 +15,5 @@ def q_roster_stream(spark, sf):
     """The employee roster dropped as 4 CSV files, scored by an available-now file stream."""
     base = work_path(spark, "roster-stream")
     write_csv(E(spark, sf).select(*RAW_COLUMNS).repartition(4, "EmployeeNumber"), f"{base}/in")
-    score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk")
+    score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", files_per_trigger=2)
     return spark.read.parquet(f"{base}/out")

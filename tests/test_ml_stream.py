@@ -82,13 +82,13 @@ def test_stream_equals_batch_and_rerun_adds_nothing(spark, emp):
 
     base = work_path(spark, "test-stream")
     write_csv(emp.select(*RAW_COLUMNS).repartition(3), f"{base}/in")
-    n1 = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk")
+    n1 = score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", 1)
     out = spark.read.parquet(f"{base}/out")
     assert n1 >= 2 and out.count() == emp.count()
     want = emp.select("EmployeeNumber", F.bround(F.col("Risk") * 100, 2).alias("p"))
     diff = out.join(want, "EmployeeNumber").where(F.col("p") != F.col("AttritionRiskPct")).count()
     assert diff == 0
-    assert score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk") == 0
+    assert score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", 1) == 0
     assert spark.read.parquet(f"{base}/out").count() == emp.count()
 
 
