@@ -26,38 +26,44 @@ def known_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.where(cond)
 
 
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 256 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row, from its types and the first row's texts and arrays (with room for longer ones)."""
+    first = df.limit(1).collect()
+    variable = sum(4 * 8 * len(v) for v in (first[0] if first else []) if isinstance(v, (str, bytes, list)))
+    return 16 * len(df.columns) + variable
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Join a per-group result back onto rows.
 
     ``small`` is counted first (an aggregate, one row per group); under
-    ``max_rows`` it is broadcast, so a hot group never meets a shuffle.  Above
+    ``max_bytes`` (rows times :func:`row_bytes`) it is broadcast, so a hot group never meets a shuffle.  Above
     the bound the join is left to a shuffle join, where AQE's skew handling
     splits hot partitions.
     """
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    side = F.broadcast(small) if small.count() * row_bytes(small) <= max_bytes else small
     return big.join(side, on, how)
 
 
 HOT_ROWS = 10_000
 
 
-def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], hot, max_hot_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def split_hot_join(big: DataFrame, small: DataFrame, keys: list[str], hot, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Inner join where a few keys of ``big`` are hot.
 
     ``hot`` flags the ``small`` rows whose key is hot (e.g. a group count
     above a threshold).  Those rows are few: they are broadcast, so the hot
     keys' rows of ``big`` are never shuffled by key; the remaining keys use a
-    shuffle join.  (If the flagged rows exceed ``max_hot_rows``, AQE's skew
+    shuffle join.  (If the flagged rows exceed ``max_bytes``, AQE's skew
     splitting is left to handle them.)
     """
     hot_small = small.where(hot)
     cold_small = small.where(~hot)
-    if hot_small.count() > max_hot_rows:
+    if hot_small.count() * row_bytes(small) > max_bytes:
         return big.join(small, keys)
     hot_keys = hot_small.select(*keys).distinct()
     part_hot = big.join(F.broadcast(hot_small), keys)

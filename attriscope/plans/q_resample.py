@@ -17,14 +17,13 @@ def _emb(spark, sf):
 
 
 @query("knn_join", f"""
-WITH p AS (SELECT vec_id, embedding FROM embeddings WHERE label = 0)
+WITH p AS (SELECT vec_id, embedding FROM embeddings)
 SELECT vec_id, nn_id, CAST(nn_rank AS INT) AS nn_rank, ROUND(dist, 6) AS dist FROM (
   SELECT a.vec_id, b.vec_id AS nn_id, {_DIST} AS dist,
          ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS nn_rank
   FROM p a, p b WHERE a.vec_id <> b.vec_id) WHERE nn_rank <= 5""")
 def q_knn_join(spark, sf):
-    pts = _emb(spark, sf).where(F.col("label") == MINORITY)
-    return round_cols(knn_join(pts, 5, id_col="vec_id", vec_col="embedding"), {"dist": 6})
+    return round_cols(knn_join(_emb(spark, sf), 5, id_col="vec_id", vec_col="embedding"), {"dist": 6})
 
 
 _SMOTE_SQL = f"""

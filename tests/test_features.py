@@ -46,7 +46,7 @@ def test_join_small_both_paths(spark, emp):
 
     g = emp.groupBy("Department").count()
     a = join_small(emp.select("EmployeeNumber", "Department"), g, "Department").orderBy("EmployeeNumber").collect()
-    b = join_small(emp.select("EmployeeNumber", "Department"), g, "Department", max_rows=0).orderBy("EmployeeNumber").collect()
+    b = join_small(emp.select("EmployeeNumber", "Department"), g, "Department", max_bytes=0).orderBy("EmployeeNumber").collect()
     assert a == b and len(a) == emp.count()
 
 
