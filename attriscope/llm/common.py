@@ -51,10 +51,31 @@ def annotate(
                 arrays = [part.column(i) for i in range(n)]
                 made = list(fn(*[part.column(n + i) for i in range(len(inputs))]))
                 yield pa.RecordBatch.from_arrays(arrays + made, names=[f.name for f in schema.fields])
+            pa.default_memory_pool().release_unused()  # a worker lives on between tasks
 
+    small_batches(df.sparkSession)
     return src.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows where the session has more: rows here are whole texts, not numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def parts_of(texts: list[str], chars: int = 1 << 19) -> Iterator[slice]:
+    """Slices of about ``chars`` characters each (one text at least)."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def texts_of(array: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [t or "" for t in array.to_pylist()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attriscope.llm.common import annotate, kth_largest, stored, table, texts_of
+from attriscope.llm.common import annotate, kth_largest, parts_of, small_batches, stored, table, texts_of
 from attriscope.llm.words import Words, longs, per_text
 
 BUCKETS = 1 << 16
@@ -56,13 +56,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.nd
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             texts, is_good = texts_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(texts), 512):
-                b, doc = features(texts[at : at + 512])
+            for part in parts_of(texts):
+                b, doc = features(texts[part])
                 raw += np.bincount(b, minlength=BUCKETS)
-                target += np.bincount(b[is_good[at : at + 512][doc]], minlength=BUCKETS)
+                target += np.bincount(b[is_good[part][doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([longs(at), longs(raw[at]), longs(target[at])], names=["bucket", "raw", "target"])
 
+    small_batches(docs.sparkSession)
     sums = src.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     rows = sums.toArrow()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -90,7 +91,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, keep:
     uid = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     u = (F.shiftrightunsigned(F.xxhash64(uid, F.lit(SEED)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     src = docs.withColumn("__gumbel", -F.log(-F.log(u)))
-    out = annotate(src, [text_col], [T.StructField("log_weight", T.DoubleType())], make, [*keep, "__gumbel"], chunk_bytes=1 << 20)
+    out = annotate(src, [text_col], [T.StructField("log_weight", T.DoubleType())], make, [*keep, "__gumbel"], chunk_bytes=1 << 19)
     return out.withColumn("score", F.col("log_weight") + F.col("__gumbel")).drop("__gumbel")
 
 
