@@ -375,7 +375,10 @@ def test_main_text():
     assert t8.main_text("") == "" and t8.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
-def test_template_text_goes_where_no_article_tells(spark):
+@pytest.mark.parametrize("rows_a_salt", [2048, 2])
+def test_template_text_goes_where_no_article_tells(spark, monkeypatch, rows_a_salt):
+    monkeypatch.setattr(t8, "ROWS_A_SALT", rows_a_salt)
+
     def page(i, note):
         extra = f"<div class='x9'><p>Subscribe now to our letter</p></div>" if note else ""
         return f"<html><body><div class='b'><p>Welcome to the site</p></div>{extra}<div class='c'><p>Story {i} begins</p><p>and ends {i * 7}</p></div><p>All rights reserved</p></body></html>"
