@@ -391,6 +391,27 @@ def test_template_text_goes_where_no_article_tells(spark, monkeypatch, rows_a_sa
     assert t8.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_template_text_goes_inside_article_and_copies_stay(spark):
+    def page(i, body, note):
+        extra = "<div class='k7'><p>Read our house rules before you write</p></div>" if note else ""
+        return f"<html><body><!-- {i} --><article><p>{body}</p>{extra}<p>{body[::-1]}</p><div class='q'>Mail this page</div></article></body></html>"
+
+    rows = [(i, "http://a.example.com/", page(i, prose(i), i % 2)) for i in range(12)]
+    rows += [(100 + i, "http://copies.example.com/", page(i, prose(99), 0)) for i in range(9)]  # one content, different bytes
+    rows += [(200 + i, "http://near.example.com/", page(i, prose(98) + f" and {i}", 0)) for i in range(9)]
+    got = {r.page_id: r.text for r in t8.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"{prose(i)}\n\n{prose(i)[::-1]}"
+    for i in range(9):
+        assert got[100 + i] == f"{prose(99)}\n\n{prose(99)[::-1]}\n\nMail this page"
+        assert got[200 + i].startswith(prose(98)) and prose(98)[::-1] in got[200 + i]
+
+
 # ---- op9 --------------------------------------------------------------------------------------
 
 
