@@ -412,6 +412,17 @@ def test_template_text_goes_inside_article_and_copies_stay(spark):
         assert got[200 + i].startswith(prose(98)) and prose(98)[::-1] in got[200 + i]
 
 
+def test_ids_and_classes_of_one_page_hide_no_template(spark):
+    def page(i, note):
+        extra = "<div class='x9'><p>Subscribe now to our letter</p></div>" if note else ""
+        own = f"id='post-{prose(i, 1)}' class='page-{i} c{i}'"
+        return f"<html><body {own}><div {own}><p>Welcome to the site</p>{extra}<div {own}><p>Story {i} begins</p></div><p>All rights reserved</p></div></body></html>"
+
+    rows = [(i, "http://h.example.com/", page(i, i % 2)) for i in range(12)]
+    got = {r.page_id: r.text for r in t8.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} begins" for i in range(12)}
+
+
 # ---- op9 --------------------------------------------------------------------------------------
 
 
