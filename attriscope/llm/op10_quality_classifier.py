@@ -6,9 +6,9 @@ document's log importance weight is the sum of its features' log ratios.  Each
 document's weight gets Gumbel noise from a hash of its id, and the ``k``
 largest are kept, which draws without replacement in proportion to the weights.
 
-k is ``keep_share`` of the rows that have a word.  By default the share comes from the labels,
-over all of them: labelled bad documents of which the two models see a difference can go.  The k-th largest
-value is found exactly by narrowing histograms, not by a sort.
+k is ``keep_share`` of the rows that have a word.  By default k comes from the scores of all labelled
+good documents: it is the least number of rows that holds ``GOOD_KEPT`` of them, so bad documents go as far as
+the weights tell them apart.  The k-th largest value is found exactly by narrowing histograms, not by a sort.
 
 The target model is fitted on at most ``MAX_TARGET`` labelled good documents
 (smallest hash of id), so the broadcast list of ids has that bound; raw counts
@@ -16,11 +16,15 @@ come from all documents.  Both models are arrays of ``BUCKETS`` numbers.
 
 Edge cases: null, empty and blank texts have no feature, get weight -inf and are
 never kept; ties at the k-th value are kept together (rows that repeat an id
-have the same noise); without labelled good documents all weights are 0; an empty table gives no row.
+have the same noise); without labelled good documents all weights are 0 and every row with a word
+is kept; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import math
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +38,7 @@ BUCKETS = 1 << 16
 MAX_TARGET = 20_000
 PSEUDO = 16.0  # counts added to both models, so a thin bucket says little
 SEED = 10
+GOOD_KEPT = 0.999  # share of the labelled good documents that the draw keeps; they are in the fit, so others score a little lower
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +52,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Log ratio of target to raw probability of each bucket."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct()
-    good = good.orderBy(F.xxhash64("good", F.lit(SEED)), "good").limit(MAX_TARGET)
+    good = good_ids(labels).orderBy(F.xxhash64("good", F.lit(SEED)), "good").limit(MAX_TARGET)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     src = src.join(F.broadcast(good), F.col("id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("good"))
 
@@ -95,10 +99,16 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, keep:
     return out.withColumn("score", F.col("log_weight") + F.col("__gumbel")).drop("__gumbel")
 
 
-def good_share(labels: DataFrame) -> float:
-    """Share of labelled documents that are good, over all labels; half of the others get the benefit of the doubt."""
-    good = labels.where("quality IS NOT NULL").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    return 1.0 if good is None else (1.0 + good) / 2
+def good_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good")).distinct()
+
+
+def label_threshold(scores: DataFrame, labels: DataFrame, id_col: str) -> float:
+    """The largest score at or above which ``GOOD_KEPT`` of all labelled good rows are."""
+    good = scores.where("score > double('-infinity')").join(good_ids(labels), F.col(f"`{id_col}`") == F.col("good"), "left_semi")
+    good = stored(good.select("score"), "good")
+    n = good.count()
+    return kth_largest(good, math.ceil(GOOD_KEPT * n)) if n else -sys.float_info.max
 
 
 def threshold(scores: DataFrame, share: float) -> float:
@@ -113,12 +123,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Columns ``keep`` (default: id) with log_weight, score and kept."""
     keep = [id_col] if keep is None else keep
     ratio = fit(docs, labels, id_col, text_col)
-    share = good_share(labels) if keep_share is None else keep_share
+
+    def cut_of(scores):
+        return label_threshold(scores, labels, id_col) if keep_share is None else threshold(scores, keep_share)
+
     if keep == [id_col]:
         scored = stored(weigh(docs, ratio, id_col, text_col, keep), "weights")
-        cut = threshold(scored, share)
+        cut = cut_of(scored)
     else:  # scores only are written; the rows themselves are scored again on their way out
-        cut = threshold(stored(weigh(docs, ratio, id_col, text_col, []), "weights"), share)
+        cut = cut_of(stored(weigh(docs, ratio, id_col, text_col, [id_col]), "weights"))
         scored = weigh(docs, ratio, id_col, text_col, keep)
     return scored.withColumn("kept", F.col("score") >= cut)
 

@@ -500,6 +500,17 @@ def test_importance_weights_equal_brute_force(spark, docs, empty):
     assert t10.classify(empty, labels).count() == 0 and t10.classify(docs, labels.where("false")).count() == docs.count()
 
 
+def test_labelled_bad_rows_go_as_far_as_the_weights_tell(spark):
+    rng = random.Random(11)
+    good, bad = [prose(f"w{i}", 1) for i in range(200)], [prose(f"b{i}", 1) for i in range(40)]
+    rows = [(i, " ".join(rng.choice(good if i < 300 else bad) for _ in range(80))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in t10.classify(df, labels).where("kept").collect()}
+    assert not [i for i in kept if i >= 300] and len([i for i in range(0, 300, 2) if i in kept]) == math.ceil(t10.GOOD_KEPT * 150)
+    assert {r.doc_id for r in t10.classify(df, labels, keep=["doc_id", "text"]).where("kept").collect()} == kept
+
+
 def test_features_are_words_and_pairs():
     b, doc = t10.features(["A b", "a B a", "", "c"])
     assert [collections.Counter(doc.tolist())[i] for i in range(4)] == [3, 5, 0, 1]
