@@ -65,8 +65,8 @@ def fingerprint_of(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp) for each row; fp is the unsigned fingerprint stored as a signed long."""
+def with_fingerprint(docs: DataFrame, text_col: str, keep: list[str], name: str = "fp", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Columns ``keep`` and, as column ``name``, the unsigned fingerprint stored as a signed long."""
 
     def make():
         def run(array: pa.Array):
@@ -75,8 +75,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return run
 
+    return annotate(docs, [text_col], [T.StructField(name, T.LongType())], make, keep)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(id, fp) for each row."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return annotate(src, ["text"], [T.StructField("fp", T.LongType())], make, ["id"])
+    return with_fingerprint(src, "text", ["id"], shingle=shingle, seed=seed)
 
 
 def _masks(bits: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
@@ -160,25 +165,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts of fewer words than a shingle hash whole; a null id takes part but
     is never a component_id unless all ids of its component are null; an empty table gives no row.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")).checkpoint()
-    found = components(links(classes.select("fp"), classes.count()))
-    groups = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    fps, groups = grouped(docs, id_col, text_col, shingle)
     smallest = groups.groupBy("c").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "c").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row, and (fp, first, c) of each fingerprint: its smallest id and its component."""
+    fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    classes = fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")).checkpoint()
+    found = components(links(classes.select("fp"), classes.count()))
+    return fps, classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: the row whose id is the component's id.
+    """``docs`` with one row of each component: a row with its smallest id, and of those with the smallest fingerprint.
 
-    Rows that repeat that id keep one row.  A component without an id keeps none of its rows out: they all stay.
+    Rows go by id and fingerprint, so a repeated id with other texts is a member of each text's component.
+    A component without an id keeps one row too.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = found.where(F.col("component_id").isNotNull()).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    lost = gone.select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
-    return kept.where(F.col(f"`{id_col}`").isNull()).unionByName(kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]))
+    _, groups = grouped(docs, id_col, text_col, shingle)
+    first = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp").alias("fp"))
+    stay = groups.groupBy("c").agg(F.min(first).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.fp").alias("__stays"))
+    rows = with_fingerprint(docs, text_col, docs.columns, "__fp", shingle)
+    kept = rows.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__stays")), "left_semi")
+    return kept.dropDuplicates([id_col, "__fp"]).drop("__fp")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

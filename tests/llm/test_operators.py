@@ -452,6 +452,13 @@ def test_simhash_equals_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_one_row_of_each_component_stays_when_ids_repeat(spark):
+    a, b, c = (prose(i) for i in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, b), (None, c), (None, c), (9, a), (7, None)]
+    kept = t9.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(kept) == collections.Counter([(1, a), (5, b), (None, c), (7, None)])
+
+
 @pytest.mark.parametrize("bits", [8, 13])
 def test_ball_links_find_all_pairs_at_three_bits(spark, monkeypatch, bits):
     monkeypatch.setattr(t9, "MIN_BITS", bits)
