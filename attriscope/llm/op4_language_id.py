@@ -8,7 +8,7 @@ the whole text counts, whatever its length.
 The network is trained in numpy by backpropagation through time (Adam, cross
 entropy at every position) on a bounded sample: about ``TRAIN_DOCS`` documents a language,
 ``PIECES`` runs of each from places spread over the whole text, and never more
-than ``TRAIN_DOCS * MAX_LANGS`` documents.  The ``MAX_LANGS`` most frequent languages are learned.
+than ``2 * TRAIN_DOCS`` documents a language.  Every labelled language is learned.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 1; if
 nothing can be learned all texts are ``und``, with score 0 where there is a letter;
@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attriscope.llm.common import annotate, table, texts_of
 
 HIDDEN, STEPS, PIECES = 10, 64, 12
-TRAIN_DOCS, MAX_LANGS = 400, 32
+TRAIN_DOCS = 400
 EPOCHS, MIN_STEPS, BATCH, RATE = 4, 250, 256, 0.02  # a small sample is gone through more often, for at least MIN_STEPS batches
 SEED = 4
 
@@ -176,26 +176,25 @@ def sample_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> t
     """The bounded training sample: runs, class indices and languages (by code point)."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     src = src.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).where(~held_out("id"))
-    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return [], np.zeros(0, np.int64), []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, TRAIN_DOCS / r["count"])))])
+    counts = src.groupBy("lang").agg((TRAIN_DOCS / F.count("*")).alias("share"))  # one row a language
     h = F.xxhash64("id", F.lit(SEED))
     u = F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
     place = F.transform(
         F.sequence(F.lit(0), F.lit(PIECES - 1)),
         lambda k: F.col("text").substr((k * F.length("text") / PIECES).cast("int") + 1, F.lit(STEPS)),
     )
-    rows = src.where(u < F.element_at(share, F.col("lang"))).select("lang", h.alias("h"), place.alias("runs"))
-    rows = rows.orderBy("h", "lang").limit(TRAIN_DOCS * MAX_LANGS).collect()
+    rows = src.join(F.broadcast(counts), "lang").where(u < F.col("share")).select("lang", h.alias("h"), place.alias("runs"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # more than the share come when ids repeat
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= 2 * TRAIN_DOCS).orderBy("h", "lang").collect()
     langs = sorted({r["lang"] for r in rows})
+    index = {lang: i for i, lang in enumerate(langs)}
     runs, y = [], []
     for r in rows:
         for t in r["runs"]:
             b = t.encode("utf-8", "surrogatepass")[:STEPS]
             if b:
                 runs.append(b)
-                y.append(langs.index(r["lang"]))
+                y.append(index[r["lang"]])
     return runs, np.array(y, np.int64), langs
 
 

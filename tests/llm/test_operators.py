@@ -190,6 +190,13 @@ def test_language_of_held_out_documents(spark, docs, empty):
     assert {r.lang_pred for r in t4.identify(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, chr(0x4E00 + 50 * (i % 40)) * 30, f"l{i % 40:02}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, y, langs = t4.sample_runs(df, "doc_id", "text", "lang")
+    assert langs == [f"l{i:02}" for i in range(40)] and len(set(y.tolist())) == 40
+
+
 def test_pooling_covers_the_whole_text():
     net = t4.Network(["a", "b"], np.random.default_rng(6))
     text = bytes(range(256)) * 3 + b"tail"
