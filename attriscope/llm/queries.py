@@ -14,6 +14,9 @@ from attriscope.llm.op7_mixing import OP7_SQL, op7_mixing
 from attriscope.llm.op8_html_extraction import op8_html_extraction
 from attriscope.llm.op9_simhash import op9_simhash
 from attriscope.llm.op10_quality_classifier import op10_quality_classifier
+from attriscope.llm.op11_inverted_multi_index import OP11_SQL, op11_inverted_multi_index
+from attriscope.llm.op12_orchard_clusters import OP12_SQL, op12_orchard_clusters
+from attriscope.llm.op13_phrases import OP13_SQL, op13_phrases
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -26,7 +29,11 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_inverted_multi_index": op11_inverted_multi_index,
+    "op12_orchard_clusters": op12_orchard_clusters,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op3_license_scan": OP3_SQL, "op7_mixing": OP7_SQL}
+ORACLE = {"op3_license_scan": OP3_SQL, "op7_mixing": OP7_SQL, "op11_inverted_multi_index": OP11_SQL, "op12_orchard_clusters": OP12_SQL,
+          "op13_phrases": OP13_SQL}
