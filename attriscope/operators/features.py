@@ -23,7 +23,6 @@ KEY = "EmployeeNumber"
 SCORE_COLUMNS = ("RiskMargin", "Risk")
 # Columns the scoring path always drops (fixed list of the scoring code).
 SCORING_DROP = ("EmployeeCount", "Over18", "StandardHours", "Attrition")
-MAX_LEVELS = 1000
 
 RATIO_FEATURES = {
     "Income_Per_Year": ("MonthlyIncome", "TotalWorkingYears"),
@@ -86,9 +85,12 @@ class FittedFeatures:
         return src.select(*cols)
 
 
-def fit_features(df: DataFrame, version: str = "v1", exclude=SCORE_COLUMNS, key: str = KEY,
-                 max_levels: int = MAX_LEVELS) -> FittedFeatures:
-    """Fit the v1 (constants, label, one-hot) or v2 (ratios first) pipeline."""
+def fit_features(df: DataFrame, version: str = "v1", exclude=SCORE_COLUMNS, key: str = KEY) -> FittedFeatures:
+    """Fit the v1 (constants, label, one-hot) or v2 (ratios first) pipeline.
+
+    The wide form has a column for each level, so the driver holds the vocabulary as it names the columns; for columns
+    of very many levels use :mod:`attriscope.operators.sparse`, whose vocabulary is a table.
+    """
     src = ratio_features(df) if version == "v2" else df
     src = src.drop(*[c for c in exclude if c in src.columns])
     dropped = [r["column_name"] for r in zero_variance_columns(src).collect()]
@@ -96,11 +98,7 @@ def fit_features(df: DataFrame, version: str = "v1", exclude=SCORE_COLUMNS, key:
     strings = [c for c in string_columns(src) if c != TARGET]
     vocab = {}
     for c in strings:
-        levels = [r[0] for r in src.select(c).where(F.col(c).isNotNull()).distinct()
-                  .limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels for one column each; use one_hot_long")
-        vocab[c] = sorted(levels)
+        vocab[c] = sorted(r[0] for r in src.select(c).where(F.col(c).isNotNull()).distinct().collect())
     numeric = [f.name for f in src.schema.fields
                if f.name not in strings and f.name not in (TARGET, key)
                and not isinstance(f.dataType, (T.StringType, T.BooleanType))]

@@ -61,11 +61,15 @@ def assembler(features: list[str]) -> VectorAssembler:
 
 def random_forest(features: list[str], label: str = LABEL, seed: int = 42, num_trees: int = 200,
                   max_depth: int = 15, min_leaf: int = 2) -> Pipeline:
+    return Pipeline(stages=[assembler(features), vector_forest(label, seed, num_trees, max_depth, min_leaf)])
+
+
+def vector_forest(label: str = LABEL, seed: int = 42, num_trees: int = 200, max_depth: int = 15, min_leaf: int = 2) -> RandomForestClassifier:
+    """The forest on a ``features`` vector column, dense or sparse."""
     # node-id caching and a larger per-iteration node budget cut the passes a deep forest needs
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=num_trees,
-                                maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
-                                cacheNodeIds=True, maxMemoryInMB=1024)
-    return Pipeline(stages=[assembler(features), rf])
+    return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=num_trees,
+                                  maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
+                                  cacheNodeIds=True, maxMemoryInMB=1024)
 
 
 def gbt_from_params(features: list[str], params: dict, label: str = LABEL, seed: int = 42, n_rows: int | None = None) -> Pipeline:

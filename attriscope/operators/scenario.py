@@ -8,7 +8,7 @@ The reference rescoring one employee per slider move becomes one pass over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attriscope.functions.finance import expected_loss, roi
@@ -85,8 +85,10 @@ def model_what_if_grid(emp: DataFrame, scorer, scenarios=WHAT_IF_SCENARIOS) -> D
     sim = scorer(cases.select("scenario", *[c for c in emp.columns if c != "Risk"]))
     keep = ["EmployeeNumber", "scenario", *WHAT_IF_COLUMNS]
     sim = sim.select(*keep, F.col("Risk").alias("sim_prob"), expected_loss("Risk", "MonthlyIncome").alias("sim_loss"))
-    now = sim.where("scenario = 'baseline'").select("EmployeeNumber", F.col("sim_prob").alias("current_prob"), F.col("sim_loss").alias("current_loss"))
-    return sim.join(now, "EmployeeNumber").withColumns({
+    # the scorer runs once: the baseline comes from the employee's own scenarios, not from a second scored grid
+    own, baseline = Window.partitionBy("EmployeeNumber"), F.col("scenario") == "baseline"
+    sim = sim.withColumns({f"current_{c}": F.max(F.when(baseline, F.col(f"sim_{c}"))).over(own) for c in ("prob", "loss")})
+    return sim.withColumns({
         "delta_pct": (F.col("sim_prob") - F.col("current_prob")) * F.lit(100.0),
         "delta_loss": F.col("sim_loss") - F.col("current_loss"),
         "zone": gauge_zone(F.col("sim_prob") * F.lit(100.0)),
@@ -110,8 +112,8 @@ def model_intervention_roi(emp: DataFrame, scorer, packages=PACKAGES) -> DataFra
     })
     after = scorer(cases.select(*names, *[c for c in emp.columns if c != "Risk"]))
     after = after.select("EmployeeNumber", *names, F.col("Risk").alias("prob_after"), expected_loss("Risk", "MonthlyIncome").alias("loss_after"))
-    now = after.where("package = '_now'").select("EmployeeNumber", F.col("prob_after").alias("prob_before"), F.col("loss_after").alias("loss_before"))
-    out = after.where("package <> '_now'").join(now, "EmployeeNumber")
+    own, now = Window.partitionBy("EmployeeNumber"), F.col("package") == "_now"  # scored once, as above
+    out = after.withColumns({f"{c}_before": F.max(F.when(now, F.col(f"{c}_after"))).over(own) for c in ("prob", "loss")}).where("package <> '_now'")
     cost = F.col("raise_yearly") + F.when(F.col("overtime_off"), OVERTIME_OFF_COST).otherwise(0.0) + F.when(F.col("mentoring"), MENTORING_COST).otherwise(0.0)
     out = out.withColumn("investment", cost).withColumn("saving", F.col("loss_before") - F.col("loss_after"))
     return out.select("EmployeeNumber", "package", "prob_before", "prob_after", "loss_before", "loss_after", "investment", "saving",
