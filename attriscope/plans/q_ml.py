@@ -227,6 +227,33 @@ def q_tree_shap(spark, sf):
     return shap.withColumn("base_value", F.lit(base))
 
 
+def _explained(spark, sf):
+    """SHAP of the boosted trees for every employee, written once and shared by the reports below."""
+    key = (spark.sparkContext.applicationId, sf, "explained")
+    if key not in _CACHE:
+        ff, tr, te = _train_test(spark, sf, "v2")
+        _CACHE[key] = X.stored_explanation(tr.unionByName(te), _gbt(spark, sf).stages[-1], ff.feature_names, "EmployeeNumber", "gbt")
+    return _CACHE[key]
+
+
+@query("tree_shap_importance")
+def q_tree_shap_importance(spark, sf):
+    """Mean |SHAP| of the trained boosted trees over all employees, the ten largest."""
+    return X.shap_importance(_explained(spark, sf), 10)
+
+
+@query("tree_shap_summary")
+def q_tree_shap_summary(spark, sf):
+    """Every employee's point for the fifteen most important features of the trained model."""
+    return X.shap_summary(_explained(spark, sf), 15)
+
+
+@query("tree_glossary")
+def q_tree_glossary(spark, sf):
+    """The trained model's ranking with plain words for each feature."""
+    return X.feature_glossary(X.shap_importance(_explained(spark, sf), 10))
+
+
 _X = ("x AS (SELECT EmployeeNumber, CASE WHEN OverTime = 'Yes' THEN 1E0 ELSE 0E0 END AS OverTime_Yes, "
       "CAST(MonthlyIncome AS DOUBLE) AS MonthlyIncome, CAST(JobSatisfaction AS DOUBLE) AS JobSatisfaction, "
       "CAST(WorkLifeBalance AS DOUBLE) AS WorkLifeBalance, CAST(Age AS DOUBLE) AS Age FROM v)")

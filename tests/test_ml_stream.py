@@ -107,3 +107,85 @@ def test_tree_shap_additivity(spark, parts, kind):
     rows = tot.join(marg, "EmployeeNumber").collect()
     assert len(rows) == te.count()
     assert all(abs(r["s"] + base - r["m"]) < 1e-9 for r in rows)
+    from attriscope.operators.treeshap import _load_trees
+    from recursive_shap import tree_shap_row
+
+    trees, weights = _load_trees(spark, model.stages[-1], kind)
+    got = {}
+    for r in shap.collect():
+        got.setdefault(r["EmployeeNumber"], {})[r["feature"]] = (r["feature_value"], r["shap"])
+    for values in list(got.values())[:12]:
+        phi = [0.0] * len(ff.feature_names)
+        for tree, w in zip(trees, weights):
+            tree_shap_row([values[f][0] for f in ff.feature_names], tuple(a.tolist() if hasattr(a, "tolist") else a for a in tree), phi, w)
+        assert all(abs(values[f][1] - p) < 1e-10 for f, p in zip(ff.feature_names, phi))
+
+
+def test_leaf_values_equal_every_order_of_players():
+    """Shapley values by all orders of features, on random trees with repeated features and a missing value."""
+    import itertools
+
+    import numpy as np
+
+    from attriscope.operators.treeshap import LeafTables
+
+    rng = np.random.default_rng(12)
+
+    def random_tree(depth):
+        nodes = []
+
+        def grow(d, cover):
+            at = len(nodes)
+            nodes.append(None)
+            if d == 0 or cover < 2:
+                nodes[at] = (-1, 0.0, -1, -1, float(rng.normal()), cover)
+                return at
+            part = float(rng.uniform(0.1, 0.9))
+            nodes[at] = (int(rng.integers(3)), float(rng.normal()), grow(d - 1, cover * part), grow(d - 1, cover * (1 - part)), 0.0, cover)
+            return at
+
+        grow(depth, 100.0)
+        columns = list(zip(*nodes))
+        return tuple(np.array(c) for c in columns[:6]) + (0,)
+
+    def expectation(tree, x, known, at=0):
+        f, thr, left, right, value, cover, _ = tree
+        if left[at] < 0:
+            return value[at]
+        if f[at] in known:
+            return expectation(tree, x, known, left[at] if x[f[at]] <= thr[at] else right[at])
+        return sum(cover[c] / cover[at] * expectation(tree, x, known, c) for c in (left[at], right[at]))
+
+    for _ in range(10):
+        tree = random_tree(4)
+        x = rng.normal(size=(5, 3))
+        x[0, 1] = np.nan
+        got = LeafTables([tree], [0.7]).values(x)
+        for row, phi in zip(x, got):
+            want = np.zeros(3)
+            for order in itertools.permutations(range(3)):
+                for k, j in enumerate(order):
+                    want[j] += 0.7 * (expectation(tree, row, order[: k + 1]) - expectation(tree, row, order[:k])) / 6
+            assert np.allclose(phi, want, atol=1e-12)
+
+
+def test_explanation_is_written_once_for_a_model_and_its_rows(spark, parts):
+    from attriscope.operators import explain as X
+
+    ff, tr, te = parts
+    model = ML.gbt_from_params(ff.feature_names, {"n_estimators": 3, "max_depth": 2}).fit(tr).stages[-1]
+    folder = work_path(spark, "explanations")
+
+    def files():
+        return X.stored_explanation(te, model, ff.feature_names, "EmployeeNumber", folder=folder).inputFiles()
+
+    first = files()
+    assert files() == first                                                          # read, not written again
+    other = X.stored_explanation(te.where("EmployeeNumber > 50"), model, ff.feature_names, "EmployeeNumber", folder=folder)
+    assert not set(other.inputFiles()) & set(first)                                  # other rows: another table
+    table = X.stored_explanation(te, model, ff.feature_names, "EmployeeNumber", folder=folder)
+    assert table.count() == te.count() * len(ff.feature_names)
+    pdf = table.toPandas()
+    want = pdf.assign(a=pdf["shap"].abs()).groupby("feature")["a"].mean().sort_values(ascending=False)
+    got = X.shap_importance(table, 3).collect()
+    assert [r["mean_abs_shap"] for r in got] == pytest.approx(want.head(3).tolist())
