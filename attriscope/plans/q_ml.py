@@ -6,10 +6,11 @@ from attriscope.functions.scorer import LINEAR_TERMS
 from attriscope.operators import explain as X
 from attriscope.operators import metrics as M
 from attriscope.operators import ml as ML
+from attriscope.operators import search as S
 from attriscope.operators.common import round_cols
 from attriscope.operators.features import align_features, drop_for_scoring, seeded_sample
 from attriscope.operators.treeshap import tree_shap
-from attriscope.operators.split import stratified_split
+from attriscope.operators.split import stratified_folds, stratified_split
 from attriscope.plans.base import fitted_features, query, with_v
 from attriscope.sources.tables import employees as E
 from attriscope.sources.tables import load
@@ -227,6 +228,56 @@ def q_tree_shap(spark, sf):
     return shap.withColumn("base_value", F.lit(base))
 
 
+# A small space and few folds keep the registered search a report, not a training job; the library's spaces are larger.
+REPORT_SPACE = {"n_estimators": ("int", 3, 8), "max_depth": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.3)}
+REPORT_TRIALS, REPORT_FOLDS = 2, 3
+
+
+def _trials(spark, sf):
+    """Out-of-fold predictions of the report's search (in the trial store; trained once for the same rows)."""
+    key = (spark.sparkContext.applicationId, sf, "trials")
+    if key not in _CACHE:
+        ff = fitted_features(spark, sf, "v2")
+        folds = stratified_folds(ff.transform(E(spark, sf)), "Attrition", "EmployeeNumber", k=REPORT_FOLDS)
+        folds = folds.select("EmployeeNumber", "Attrition", "fold", *[F.col(f"`{c}`") for c in ff.feature_names])
+        _CACHE[key] = S.search(folds, ff.feature_names, "EmployeeNumber", REPORT_SPACE, REPORT_TRIALS, REPORT_FOLDS, "smote", parallelism=2)
+    return _CACHE[key]
+
+
+def _draw_sql(space, trials):
+    rows = ", ".join(f"('{p}', '{k}', CAST({lo!r} AS DOUBLE), CAST({hi!r} AS DOUBLE))" for p, (k, lo, hi) in sorted(space.items()))
+    return f"""WITH p(param, kind, lo, hi) AS (VALUES {rows}),
+d AS (SELECT CAST(t AS INT) AS trial, param, kind, lo, hi, md5('42:' || t || ':' || param) AS h FROM p, range({trials}) r(t)),
+x AS (SELECT *, list_sum(list_transform(range(8), lambda i: CAST(strpos('0123456789abcdef', substr(h, CAST(i + 1 AS INT), 1)) - 1 AS DOUBLE) * power(16, 7 - i))) / 4294967296E0 AS u FROM d)
+SELECT trial, param, kind, ROUND(u, 6) AS u, ROUND(CASE kind WHEN 'int' THEN floor(lo + u * (hi - lo + 1)) WHEN 'log' THEN exp(ln(lo) + u * (ln(hi) - ln(lo))) ELSE lo + u * (hi - lo) END, 6) AS value FROM x"""
+
+
+@query("search_draws", _draw_sql(ML.SEARCH_SPACE_V2, 20))
+def q_search_draws(spark, sf):
+    """The parameter table of the 20-trial search (the same draws in any engine)."""
+    return round_cols(S.draws(spark, ML.SEARCH_SPACE_V2, 20), {"u": 6, "value": 6})
+
+
+@query("search_trials")
+def q_search_trials(spark, sf):
+    """Mean F1 of each trial from its stored out-of-fold predictions, the best one marked."""
+    return S.trial_table(_trials(spark, sf))
+
+
+@query("cv_folds_metrics")
+def q_cv_folds_metrics(spark, sf):
+    """Counts and metrics of every trial and fold, one grouped aggregate over the stored out-of-fold predictions."""
+    return S.grouped_metrics(_trials(spark, sf), ["trial", "fold"])
+
+
+@query("trained_model_comparison")
+def q_trained_model_comparison(spark, sf):
+    """The earlier model's published recall and F1 beside those of the trained boosted trees on the hold-out."""
+    _, _, te = _train_test(spark, sf, "v2")
+    scored = _gbt(spark, sf).transform(te).withColumn("pred", F.col("prediction").cast("int"))
+    return M.model_comparison(scored, "Attrition", "pred")
+
+
 def _explained(spark, sf):
     """SHAP of the boosted trees for every employee, written once and shared by the reports below."""
     key = (spark.sparkContext.applicationId, sf, "explained")
