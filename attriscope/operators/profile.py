@@ -83,15 +83,24 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
-    """Column list with Spark type, position and exact distinct count."""
-    cols = df.columns
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)])
-    spark = df.sparkSession
-    types = spark.createDataFrame([(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(cols)],
+    """Column list with Spark type, position and exact distinct count.
+
+    The cells go as (column, value) rows through one distinct (values are first reduced in each task), where one
+    count of distinct values for each column in one aggregate would copy every row once for each column.
+    """
+    spark, fields = df.sparkSession, df.schema.fields
+    types = spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
                                   "ordinal int, column_name string, data_type string")
-    stack = ", ".join(f"{i}, `d{i}`" for i in range(len(cols)))
-    d = row.select(F.expr(f"stack({len(cols)}, {stack}) as (ordinal, n_distinct)"))
-    return types.join(d, "ordinal")
+
+    def value(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)  # -0.0 is 0.0
+        return (F.hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")).alias("value")
+
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), value(f)) for i, f in enumerate(fields)])))
+    counts = cells.where(F.col("value").isNotNull()).distinct().groupBy("ordinal").agg(F.count("*").alias("n_distinct"))
+    return types.join(F.broadcast(counts), "ordinal", "left").fillna(0, ["n_distinct"])  # one row for each column
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -99,9 +108,11 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    return (spark.createDataFrame([(f.dataType.simpleString(),) for f in df.schema.fields], "data_type string")
-            .groupBy("data_type").agg(F.count("*").alias("n_columns")))
+    """Per type: its columns and their non-null values, from one aggregate over the table."""
+    fields = df.schema.fields
+    row = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"n{i}") for i, f in enumerate(fields)])
+    cells = F.array(*[F.struct(F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"n{i}").alias("n")) for i, f in enumerate(fields)])
+    return row.select(F.inline(cells)).groupBy("data_type").agg(F.count("*").alias("n_columns"), F.sum("n").alias("n_values"))
 
 
 def preview(df: DataFrame, key: str, n_rows: int = 5, n_cols: int = 10) -> DataFrame:

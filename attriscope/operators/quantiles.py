@@ -21,9 +21,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attriscope.operators.common import join_small
+from attriscope.session import materialize
+
 BUCKETS = 4096
 
 
@@ -142,10 +145,16 @@ def exact_quantiles(df: DataFrame, value: str, qs, by: list[str] | None = None,
 
 def exact_quantile_frame(df: DataFrame, value: str, qs, by: list[str] | None = None,
                          names: list[str] | None = None, **kw) -> DataFrame:
-    """Same as :func:`exact_quantiles` as a small DataFrame (one row per group)."""
+    """Same as :func:`exact_quantiles` as a DataFrame (one row per group).
+
+    Up to ``DRIVER_GROUPS`` groups the ranges are held by the driver; above that they are a table, see
+    :func:`quantile_table`.  Both are exact.
+    """
     by = list(by or [])
     qs = list(qs)
     names = names or [f"q{int(round(q * 100))}" for q in qs]
+    if by and _clean(df, value, by).select(*by).distinct().limit(DRIVER_GROUPS + 1).count() > DRIVER_GROUPS:
+        return quantile_table(df, value, qs, by, names).drop("n")
     res = exact_quantiles(df, value, qs, by, **kw)
     spark = df.sparkSession
     schema_by = [f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
@@ -154,6 +163,64 @@ def exact_quantile_frame(df: DataFrame, value: str, qs, by: list[str] | None = N
     return spark.createDataFrame(rows, schema)
 
 
+DRIVER_GROUPS = 10_000
+TABLE_BUCKETS = 64
+
+
+def quantile_table(df: DataFrame, value: str, qs: list[float], by: list[str], names: list[str] | None = None) -> DataFrame:
+    """(by, n, one column for each quantile) for any number of groups, exact, with the selection's state as a table.
+
+    A row of the state is a wanted rank of a group and the range [lo, hi] that holds it.  A pass joins the open ranges to
+    the values, counts them in ``TABLE_BUCKETS`` buckets of each range (a partial aggregate, so a hot group is never
+    gathered), and a running sum over a range's buckets finds the one with the rank.  It ends when every range is one
+    value.  The driver sees one count a pass.
+    """
+    names = names or [f"q{int(round(q * 100))}" for q in qs]
+    keys = [f"_k{i}" for i in range(len(by))]
+    data = _clean(df, value, by).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], "_v")
+    stats = materialize(data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")), "groups")
+    places = [F.lit(q) * (F.col("n") - 1) for q in qs]
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
+    state = stats.select(*keys, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+    done, state = state.where("lo = hi").select(*keys, "rank", "lo"), materialize(state.where("lo <> hi"), "ranges")
+
+    def same(other: str, columns: list[str]):  # null is a group of its own
+        cond = F.lit(True)
+        for c in columns:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"{other}{c}"))
+        return cond
+
+    # halves, as in order_statistics: the width of a finite range cannot overflow
+    big = F.lit(1.7976931348623157e308)
+    lo, hi = F.greatest("lo", -big), F.least("hi", big)
+    wide = hi / 2 - lo / 2
+    inner = F.when(wide > 0, F.least(F.floor((F.col("_v") / 2 - lo / 2) / wide * F.lit(float(TABLE_BUCKETS))).cast("int"), F.lit(TABLE_BUCKETS - 1)))
+    bucket = (F.when(F.col("_v") == F.lit(float("-inf")), F.lit(-2)).when(F.col("_v") == F.lit(float("inf")), F.lit(TABLE_BUCKETS))
+              .when(F.col("_v") == F.col("lo"), F.lit(-1)).otherwise(F.coalesce(inner, F.lit(0))))
+    while state.limit(1).count():
+        ranges = state.select(*[F.col(k).alias(f"_r{k}") for k in keys], "lo", "hi").distinct()
+        here = same("_r", keys) & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
+        hist = join_small(data, ranges, here).groupBy(*keys, "lo", "hi", bucket.alias("b")).agg(
+            F.count("*").alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "lo", "hi").orderBy("b"))  # TABLE_BUCKETS + 3 rows at most
+        hist = hist.select(*[F.col(c).alias(f"_h{c}") for c in (*keys, "lo", "hi")], "mn", "mx", (upto - F.col("c")).alias("before"), upto.alias("upto"))
+        offset = F.col("rank") - F.col("below")
+        found = state.join(hist, same("_h", [*keys, "lo", "hi"]) & (offset >= F.col("before")) & (offset < F.col("upto")))
+        state = materialize(found.select(*keys, "rank", F.col("mn").alias("lo"), F.col("mx").alias("hi"), (F.col("below") + F.col("before")).alias("below")), "ranges")
+        done = done.unionByName(state.where("lo = hi").select(*keys, "rank", "lo"))
+        state = state.where("lo <> hi")
+    at = F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at")  # two entries for each quantile
+    values = done.groupBy(*keys).agg(at).select(*[F.col(k).alias(f"_w{k}") for k in keys], "at")
+    out = stats.join(values, same("_w", keys)).select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "n", "at")
+
+    def quantile(place):
+        low, high = F.floor(place), F.ceil(place)
+        a, b = F.col("at")[low.cast("long")], F.col("at")[high.cast("long")]
+        return F.when(low == high, a).otherwise((high - place) * a + (place - low) * b)
+
+    return out.select(*by, "n", *[quantile(p).alias(c) for p, c in zip(places, names)])
+
+
 def exact_median(df: DataFrame, value: str) -> float | None:
     res = exact_quantiles(df, value, [0.5])
     return res[()][0.5] if () in res else None

@@ -105,28 +105,31 @@ def nine_box(emp: DataFrame) -> DataFrame:
 
 
 def extreme_groups(emp: DataFrame) -> DataFrame:
-    """Group with the highest / lowest mean risk; ties go to the first key (band order / name)."""
-    dept = (known_keys(emp, "Department").groupBy("Department").agg(F.avg("Risk").alias("m"))
-            .withColumn("k", F.col("Department")).withColumn("o", F.lit(0)))
-    age = (emp.withColumn("o", band_index("Age", "age")).where(F.col("o").isNotNull())
-              .groupBy("o").agg(F.avg("Risk").alias("m")))
-    ten = (emp.withColumn("o", band_index("YearsAtCompany", "tenure")).where(F.col("o").isNotNull())
-              .groupBy("o").agg(F.avg("Risk").alias("m")))
-    from attriscope.functions.bands import BANDS
-
-    def label(scheme):
-        return F.element_at(F.array(*[F.lit(x) for x in BANDS[scheme].labels]), F.col("o") + 1)
-
-    age = age.withColumn("k", label("age"))
-    ten = ten.withColumn("k", label("tenure"))
+    """Group with the highest / lowest mean risk; ties go to the first key (band order / name).
 
-    def pick(df, dim, kind):
-        order = F.struct((-F.col("m")) if kind == "max" else F.col("m"), F.col("o"), F.col("k"))
-        return df.agg(F.lit(dim).alias("dimension"), F.lit(kind).alias("extreme"),
-                      F.min_by("k", order).alias("group_key"), F.min_by("m", order).alias("avg_risk"))
+    The three groupings are grouping sets of one aggregate (one scan); the four picks are one more aggregate over its
+    few rows.
+    """
+    from attriscope.functions.bands import BANDS
 
-    return (pick(dept, "Department", "max").unionByName(pick(dept, "Department", "min"))
-            .unionByName(pick(age, "AgeBand", "max")).unionByName(pick(ten, "TenureBand", "max")))
+    src = emp.select("Department", band_index("Age", "age").alias("age"), band_index("YearsAtCompany", "tenure").alias("tenure"), "Risk")
+    means = src.groupingSets([["Department"], ["age"], ["tenure"]], "Department", "age", "tenure").agg(
+        F.avg("Risk").alias("m"), F.grouping("Department").alias("not_d"), F.grouping("age").alias("not_a"), F.grouping("tenure").alias("not_t"))
+
+    def label(scheme, band):
+        return F.element_at(F.array(*[F.lit(x) for x in BANDS[scheme].labels]), F.col(band) + 1)
+
+    kinds = [("not_d", F.col("Department"), F.lit(0)), ("not_a", label("age", "age"), F.col("age")), ("not_t", label("tenure", "tenure"), F.col("tenure"))]
+    picks = [("Department", "max", 0), ("Department", "min", 0), ("AgeBand", "max", 1), ("TenureBand", "max", 2)]
+    aggs = []
+    for i, (_, kind, which) in enumerate(picks):
+        flag, key, place = kinds[which]
+        here = (F.col(flag) == 0) & key.isNotNull()
+        order = F.when(here, F.struct((-F.col("m") if kind == "max" else F.col("m")).alias("m"), place.alias("o"), key.alias("k")))
+        aggs += [F.min_by(key, order).alias(f"k{i}"), F.min_by("m", order).alias(f"m{i}")]
+    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(kind).alias("extreme"), F.col(f"k{i}").alias("group_key"), F.col(f"m{i}").alias("avg_risk"))
+                     for i, (d, kind, _) in enumerate(picks)])
+    return means.agg(*aggs).select(F.inline(rows))
 
 
 def label_num(col="Attrition"):

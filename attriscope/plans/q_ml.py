@@ -9,9 +9,12 @@ from attriscope.operators import ml as ML
 from attriscope.operators import search as S
 from attriscope.operators.common import round_cols
 from attriscope.operators.features import align_features, drop_for_scoring, seeded_sample
+from attriscope.operators.scoring import score_roster
 from attriscope.operators.treeshap import tree_shap
 from attriscope.operators.split import stratified_folds, stratified_split
 from attriscope.plans.base import fitted_features, query, with_v
+from attriscope.session import work_path
+from attriscope.sources import bundles as B
 from attriscope.sources.tables import employees as E
 from attriscope.sources.tables import load
 
@@ -151,6 +154,33 @@ def q_model_scores(spark, sf):
     return scored.select("EmployeeNumber", F.bround(F.col("prob") * F.lit(100.0), 2).alias("AttritionRiskPct"))
 
 
+def _published(spark, sf):
+    """The trained forest published as a bundle version (once for each session and tables); scoring reads it back."""
+    key = (spark.sparkContext.applicationId, sf, "bundle")
+    if key not in _CACHE:
+        ff, _, _ = _train_test(spark, sf)
+        root = work_path(spark, "bundles")
+        B.publish(spark, root, _forest(spark, sf), {"features": ff.to_json(), "feature_names": ff.feature_names})
+        _CACHE[key] = root
+    return _CACHE[key]
+
+
+@query("bundle_scores")
+def q_bundle_scores(spark, sf):
+    """Every employee scored by the newest whole version of the published model."""
+    display, _ = score_roster(E(spark, sf).drop("Risk", "RiskMargin"), B.bundle_scorer(B.newest(spark, _published(spark, sf))))
+    return display
+
+
+@query("bundle_versions")
+def q_bundle_versions(spark, sf):
+    """Files of the newest version with their lengths, and whether their digests are those of the published list."""
+    bundle = B.newest(spark, _published(spark, sf))
+    kept = spark.read.parquet(f"{bundle.path}/files")
+    found = B.file_list(spark, f"{bundle.path}/model").withColumnRenamed("sha256", "now")
+    return kept.join(found, ["path", "length"], "left").select("path", "length", F.col("now").eqNullSafe(F.col("sha256")).alias("whole"))
+
+
 @query("model_department_profile")
 def q_model_department_profile(spark, sf):
     """The flagship report on learned scores: every employee scored by the forest, then profiled."""

@@ -99,7 +99,10 @@ def q_table_shape(spark, sf):
     return P.table_shape(E(spark, sf))
 
 
-@query("dtype_counts", with_v(f"SELECT data_type, COUNT(*) AS n_columns FROM ({_SCHEMA_ROWS}) GROUP BY data_type"))
+_TYPE_ROWS = "\nUNION ALL ".join(f"SELECT {_SPARK_TYPE.format(c=c)} AS data_type, COUNT({c}) AS n FROM v" for c in EMPLOYEE_COLUMNS)
+
+
+@query("dtype_counts", with_v(f"SELECT data_type, COUNT(*) AS n_columns, CAST(SUM(n) AS BIGINT) AS n_values FROM ({_TYPE_ROWS}) GROUP BY data_type"))
 def q_dtype_counts(spark, sf):
     return P.dtype_counts(E(spark, sf))
 
@@ -180,3 +183,14 @@ SELECT EmployeeNumber, Department, ROUND(Risk, 6) AS Risk FROM v
 ORDER BY md5(concat('42:', CAST(EmployeeNumber AS VARCHAR))), EmployeeNumber LIMIT 100"""))
 def q_seeded_sample(spark, sf):
     return round_cols(FE.seeded_sample(E(spark, sf), 100).select("EmployeeNumber", "Department", "Risk"), {"Risk": 6})
+
+
+@query("order_quantiles", """
+SELECT o_custkey, COUNT(*) AS n, ROUND(quantile_cont(o_totalprice, 0.25), 6) AS q25, ROUND(quantile_cont(o_totalprice, 0.5), 6) AS q50,
+       ROUND(quantile_cont(o_totalprice, 0.9), 6) AS q90
+FROM orders GROUP BY o_custkey""")
+def q_order_quantiles(spark, sf):
+    """Exact quantiles of very many groups (each customer's orders): the selection's ranges stay a table."""
+    from attriscope.operators.quantiles import quantile_table
+
+    return round_cols(quantile_table(load(spark, sf, "orders"), "o_totalprice", [0.25, 0.5, 0.9], ["o_custkey"]), {"q25": 6, "q50": 6, "q90": 6})

@@ -46,3 +46,32 @@ def test_infinities_null_groups_and_equal_values(spark):
     assert got[("a",)] == {0.0: -1.7e308, 0.5: 5e-324, 1.0: inf}
     same = spark.range(1_000_000).selectExpr("CAST(7 AS DOUBLE) AS x")
     assert exact_quantiles(same, "x", [0.25, 0.5])[()] == {0.25: 7.0, 0.5: 7.0}
+
+
+def test_table_form_equals_driver_form(spark):
+    """Ties, infinities, NaN and null values, a null group, a hot group, tiny and huge ranges."""
+    import random
+
+    from attriscope.operators.quantiles import exact_quantiles, quantile_table
+
+    random.seed(3)
+    rows = [(None if i % 9 == 0 else f"g{i % 40}", random.choice([random.gauss(0, 1), 5.0, 5.0, 1e300 * random.random(), -1e-300 * random.random()])) for i in range(2000)]
+    rows += [("hot", float(random.randrange(50))) for _ in range(1500)] + [("one", 7.0), ("none", None), ("nan", float("nan")), ("inf", float("inf")), ("inf", -float("inf")), ("inf", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = exact_quantiles(df, "v", qs, ["g"])
+    got = {(r["g"],): r for r in quantile_table(df, "v", qs, ["g"]).collect()}
+    assert got.keys() == want.keys() and got[("hot",)]["n"] == 1500
+    for g, r in got.items():
+        for q, name in zip(qs, ["q0", "q25", "q50", "q90", "q100"]):
+            assert r[name] == want[g][q] or (r[name] != r[name] and want[g][q] != want[g][q]), (g, q)
+
+
+def test_many_groups_use_the_table_form(spark, monkeypatch):
+    from attriscope.operators import quantiles as Q
+
+    df = spark.range(3000).selectExpr("id % 1000 AS g", "CAST(id AS DOUBLE) AS v")
+    a = sorted(map(tuple, Q.exact_quantile_frame(df, "v", [0.5], ["g"]).collect()))
+    monkeypatch.setattr(Q, "DRIVER_GROUPS", 10)
+    monkeypatch.setattr(Q, "exact_quantiles", None)  # not used
+    assert sorted(map(tuple, Q.exact_quantile_frame(df, "v", [0.5], ["g"]).collect())) == a
