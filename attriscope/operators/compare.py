@@ -64,8 +64,17 @@ def pair_compare(emp: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
         F.when(F.col("risk2") > HIGH, F.lit("High")).otherwise(F.lit("Low")).alias("tag2"))
 
 
-def pair_metrics_long(emp: DataFrame) -> DataFrame:
-    """Wide-to-long: one row per (pair, side, metric) with the value as double."""
+def pair_metrics_long(emp: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Wide-to-long: one row per (pair, side, metric) with the value as double.
+
+    With ``chosen`` (see :func:`side_by_side`) every named pair has both sides; an absent id has null values.
+    """
+    if chosen is not None:
+        both = side_by_side(emp, [m for m, _ in BAR_METRICS], chosen)
+        rows = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"emp{i}").alias("EmployeeNumber"), F.lit(m).alias("metric"),
+                                  F.col(f"{ab}.{m}").cast("double").alias("value"), F.lit(lab).alias("label"))
+                         for i, ab in ((1, "a"), (2, "b")) for m, lab in BAR_METRICS])
+        return both.select("pair_id", F.inline(rows))
     p = pairs(emp)
     both = p.groupBy("pair_id").agg(F.count("*").alias("_n")).where(F.col("_n") == 2).select("pair_id")
     p = p.join(both, "pair_id")  # complete pairs only (equi-join on the pair key)
@@ -198,14 +207,12 @@ def detail_values(emp: DataFrame):
         _money(expected_loss("Risk", "MonthlyIncome")))
 
 
-def pair_detail_table(emp: DataFrame) -> DataFrame:
-    """15-row side-by-side table per pair: (pair_id, row, metric, value_1, value_2)."""
-    p = pairs(emp).select("pair_id", "side", "EmployeeNumber", detail_values(emp).alias("vals"))
-    a = p.where(F.col("side") == 1).select("pair_id", F.col("vals").alias("v1"))
-    b = p.where(F.col("side") == 2).select("pair_id", F.col("vals").alias("v2"))
+def pair_detail_table(emp: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """15-row side-by-side table per pair: (pair_id, row, metric, value_1, value_2); ``chosen`` as in :func:`side_by_side`."""
+    both = side_by_side(emp.select("EmployeeNumber", detail_values(emp).alias("vals")), ["vals"], chosen)
     names = F.array(*[F.lit(m) for m in DETAIL_METRICS])
     rows = F.transform(F.sequence(F.lit(1), F.lit(len(DETAIL_METRICS))),
                        lambda i: F.struct(i.alias("row"), F.element_at(names, i).alias("metric"),
-                                          F.element_at(F.col("v1"), i).alias("value_1"),
-                                          F.element_at(F.col("v2"), i).alias("value_2")))
-    return a.join(b, "pair_id").select("pair_id", F.inline(rows))
+                                          F.element_at(F.col("a.vals"), i).alias("value_1"),
+                                          F.element_at(F.col("b.vals"), i).alias("value_2")))
+    return both.select("pair_id", F.inline(rows))

@@ -213,6 +213,31 @@ def q_pair_detail_table(spark, sf):
     return C.pair_detail_table(E(spark, sf))
 
 
+def _chosen(emp):
+    k = F.col("EmployeeNumber")
+    return emp.select(k.alias("pair_id"), k.alias("emp1"), (k + 5).alias("emp2"))
+
+
+@query("pair_detail_chosen", with_v(f"""
+SELECT a.EmployeeNumber AS pair_id, CAST(i AS INT) AS row, {_METRIC_NAMES}[i] AS metric, a.vals[i] AS value_1, b.vals[i] AS value_2
+FROM (SELECT EmployeeNumber, {_detail_rows(1)} AS vals FROM v) a LEFT JOIN (SELECT EmployeeNumber, {_detail_rows(2)} AS vals FROM v) b
+ON b.EmployeeNumber = a.EmployeeNumber + 5, range(1, {len(C.DETAIL_METRICS) + 1}) t(i)"""))
+def q_pair_detail_chosen(spark, sf):
+    """The 15-row table of chosen pairs; a pair without a second employee stays, with nulls."""
+    emp = E(spark, sf)
+    return C.pair_detail_table(emp, _chosen(emp))
+
+
+@query("pair_metrics_long_chosen", with_v("\nUNION ALL ".join(
+    f"SELECT p.EmployeeNumber AS pair_id, CAST({side} AS INT) AS side, p.EmployeeNumber + {add} AS EmployeeNumber, '{m}' AS metric, "
+    f"CAST(r.{m} AS DOUBLE) AS value, '{lab}' AS label FROM v p LEFT JOIN v r ON r.EmployeeNumber = p.EmployeeNumber + {add}"
+    for side, add in ((1, 0), (2, 5)) for m, lab in C.BAR_METRICS)))
+def q_pair_metrics_long_chosen(spark, sf):
+    """The eight metrics of both employees of chosen pairs."""
+    emp = E(spark, sf)
+    return C.pair_metrics_long(emp, _chosen(emp))
+
+
 @query("radar_scores", with_v("""
 SELECT EmployeeNumber, ROUND(MonthlyIncome / m.inc * 5E0, 6) AS salary,
        ROUND(JobSatisfaction / 4E0 * 5E0, 6) AS job_satisfaction,

@@ -47,36 +47,42 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 _SHIPPED: set = set()
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession, folder: str) -> None:
     """Make ``attriscope`` importable in Python workers (pandas functions refer to it).
 
-    The package is zipped next to itself (not into a temp folder) and added
-    with ``addPyFile`` once per application; Spark distributes it to executors.
+    The package is zipped into the shared ``folder``, so the install itself may be read-only, and added with
+    ``addPyFile`` once per application; Spark distributes it to executors.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     import hashlib
+    import io
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-    digest = hashlib.sha256()
-    for full in files:
-        digest.update(os.path.relpath(full, root).encode())
-        with open(full, "rb") as fh:
-            digest.update(fh.read())
-    # one archive per code version, written atomically (concurrent applications may race)
-    target = os.path.join(root, f".attriscope-{digest.hexdigest()[:16]}.zip")
-    if not os.path.exists(target):
-        tmp = f"{target}.{os.getpid()}.part"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for full in files:
-                z.write(full, os.path.relpath(full, root))
-        os.replace(tmp, target)
-    sc.addPyFile(target)
+    digest, body = hashlib.sha256(), io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for full in files:
+            name = os.path.relpath(full, root)
+            with open(full, "rb") as fh:
+                data = fh.read()
+            digest.update(name.encode() + data)
+            z.writestr(name, data)
+    # one archive per code version, visible only when whole (concurrent applications may race)
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    target = path(f"{folder.rstrip('/')}/attriscope/attriscope-{digest.hexdigest()[:16]}.zip")
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        part = path(f"{target.toString()}.{uuid.uuid4().hex[:8]}.part")
+        out = fs.create(part)
+        out.write(bytearray(body.getvalue()))
+        out.close()
+        fs.rename(part, target)
+    sc.addPyFile(fs.makeQualified(target).toString())
     _SHIPPED.add(app)
 
 
@@ -94,7 +100,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
-    ship_package(spark)
+    ship_package(spark, d)
     return d
 
 
