@@ -430,6 +430,81 @@ def test_ids_and_classes_of_one_page_hide_no_template(spark):
     assert got == {i: f"Story {i} begins" for i in range(12)}
 
 
+def test_recurring_text_of_an_article_stays(spark):
+    """Headings, bylines and captions that recur inside articles are content; a constant container is not."""
+    def page(i):
+        by = f"<div class='byline'>By author {i % 2}</div>"
+        part = f"<section><h2>Background</h2><p>{prose(1000 + i, 20)}</p></section><figure><figcaption>Map {i % 3}</figcaption></figure>"
+        return f"<html><body><article><p>Introduction</p>{by}<p>{prose(i, 20)}</p>{part}<p>Conclusion</p><div class='z1'><p>Tell a friend</p></div></article></body></html>"
+
+    rows = [(i, "http://a.example.com/", page(i)) for i in range(10)]
+    got = {r.page_id: r.text for r in t8.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == "\n\n".join(["Introduction", f"By author {i % 2}", prose(i, 20), "Background", prose(1000 + i, 20), f"Map {i % 3}", "Conclusion"])
+
+
+def test_two_pages_show_a_template(spark):
+    def page(i):
+        return f"<html><body><div class='a'><p>Top links here</p></div><div><p>{prose(i)}</p></div><div class='z'>All rights kept by us</div></body></html>"
+
+    rows = [(i, "http://two.example.com/", page(i)) for i in range(2)] + [(5, "http://one.example.com/", page(5))]
+    got = {r.page_id: r.text for r in t8.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[0], got[1]] == [prose(0), prose(1)] and got[5].startswith("Top links here")
+
+
+def test_deep_and_unclosed_html_is_linear():
+    import time
+
+    for html in ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "<article>" + "<div><p>x" * 50_000, "</div>" * 100_000 + "end", "<ul>" + "<li>a" * 100_000):
+        t = time.time()
+        text = t8.main_text(html)
+        assert time.time() - t < 30 and text.split()[-1] in ("deep", "x", "end", "a")
+    assert t8.main_text("<div>" * 100_000 + "deep") == "deep"
+
+
+def test_templates_equal_an_occurrence_vector_version(spark):
+    """Whole vectors in memory, one host at a time, against the signatures of the Spark job, on random pages."""
+    rng = random.Random(13)
+
+    def part(d):
+        kind = rng.choice(["p", "div", "section", "li", "h2", "div"])
+        inner = rng.choice(["same text", "other text", f"own {rng.random()}", "menu words"]) if d == 0 or rng.random() < 0.4 else "".join(part(d - 1) for _ in range(rng.randint(1, 3)))
+        name = rng.choice(["", " class='k1'", " class='k2 k3'", f" id='n{rng.randint(0, 3)}'"])
+        return f"<{kind}{name}>{inner}</{kind}>"
+
+    def page(i):
+        body = "".join(part(2) for _ in range(rng.randint(1, 4)))
+        fixed = "<div class='f'><p>fixed note</p></div>"
+        main = f"<article><p>{prose(i, 12)}</p>{fixed if i % 3 else ''}{body}</article>" if rng.random() < 0.5 else body
+        return f"<html><body><div>head line</div>{main}<p>foot line</p></body></html>"
+
+    rows = [(i, f"http://h{i % 7}.example.com/{i}", page(i)) for i in range(200)]
+    vectors, pages = collections.defaultdict(lambda: collections.defaultdict(dict)), collections.defaultdict(set)
+    for i, url, html in rows:
+        p, host = t8.Page(html), url.split("/")[2]
+        (digest,) = t8.content_digests([p], [html])
+        pages[host].add(digest)
+        n = collections.Counter([(t, 0) for t in p.elements] + [(t, 2) for _, _, t in p.containers])
+        n.update((t8.token("t", path, text), 1) for path, text, main, out in p.blocks if not out and not main)
+        for k, c in n.items():
+            at = vectors[host][k]
+            at[digest] = max(at.get(digest, 0), c)
+    want = {}
+    for host, tokens in vectors.items():
+        classes, total = collections.defaultdict(list), len(pages[host])
+        for (t, kind), at in tokens.items():
+            classes[frozenset(at.items())].append((t, kind))
+        for vector, members in classes.items():
+            support, element = len(vector), any(k == 0 for _, k in members)
+            if support < 0.3 * total or support < 2:
+                continue
+            for t, kind in members:
+                if kind == 1 and (support == total or (element and support >= 4)) or kind == 2 and element and support >= 4:
+                    want.setdefault(host, set()).add(t)
+    got = {r.host: set(r.template) for r in t8.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").collect()}
+    assert got == want and len(got) == 7
+
+
 # ---- op9 --------------------------------------------------------------------------------------
 
 
