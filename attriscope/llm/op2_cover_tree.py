@@ -49,7 +49,7 @@ def points(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             out = []
             for v in array.to_pylist():
                 a = np.array([np.nan if x is None else x for x in v], np.float64) if v else np.zeros(0)
-                out.append(a.tobytes() if len(a) and np.isfinite(a).all() and a.any() and 0 < _norm(a) < np.inf else None)
+                out.append(a.tobytes() if len(a) and np.isfinite(a).all() and a.any() else None)
             yield pa.array(out, pa.binary())
             yield pa.array([None if b is None else len(b) // 8 for b in out], pa.int32())
 
@@ -60,13 +60,10 @@ def points(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return annotate(src, ["v"], fields, make, ["id"]).withColumn("node", F.md5("vec"))
 
 
-def _norm(a: np.ndarray) -> float:
-    with np.errstate(over="ignore", under="ignore"):
-        return float(np.sqrt(a @ a))
-
-
 def unit(raw: list[bytes]) -> np.ndarray:
+    """Rows of length 1.  A power of two takes the largest component near 1 first, so no square over- or underflows."""
     x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 

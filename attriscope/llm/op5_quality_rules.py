@@ -256,18 +256,21 @@ def _dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+MODEL, SCORED = "__model", "__n_scored"  # names that no kept column has
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: id) with the base counts, base_failed, model, log_perplexity, z and kept."""
+    """Columns ``keep`` (default: id) with the base counts, base_failed, kept, log_perplexity and z, which replace kept columns of their names."""
     spark = docs.sparkSession
     langs = language_models(docs, lang_col)
     model = HashedModel(kneser_ney(count_ngrams(docs, langs, text_col, lang_col)).toArrow())
     shared = spark.sparkContext.broadcast(model)  # at most 9 x 1,082,400 entries, see above
     keep = [id_col] if keep is None else keep
+    if keep == [id_col]:
+        docs = docs.select(id_col, text_col, lang_col)  # another column may bear one of the names made here
     longs_ = [T.StructField(c, T.LongType()) for c in METRICS]
-    fields = longs_ + [T.StructField("model", T.LongType()), T.StructField("n_scored", T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
+    fields = longs_ + [T.StructField(MODEL, T.LongType()), T.StructField(SCORED, T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
 
     def make():
         seen: dict[int, np.ndarray] = {}
@@ -294,12 +297,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if keep == [id_col]:
         scored = scores = stored(scored, "perplexity")
     else:  # scores only are written; the rows themselves are scored again on their way out
-        scores = stored(scored.select("model", "n_scored", "log_perplexity", "base_failed"), "perplexity")
-    band = bands(scores)
-    z = F.try_divide((F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_scored"), F.col("spread"))
+        scores = stored(scored.select(MODEL, SCORED, "log_perplexity", "base_failed"), "perplexity")
+    band = bands(scores.withColumnsRenamed({MODEL: "model", SCORED: "n_scored"}))
+    band = band.select(F.col("model").alias(MODEL), F.col("middle").alias("__middle"), F.col("spread").alias("__spread"))
+    z = F.try_divide((F.col("log_perplexity") - F.col("__middle")) * F.sqrt(SCORED), F.col("__spread"))
     inside = F.coalesce((F.col("z") >= -LOWER) & (F.col("z") <= UPPER), F.lit(True))
     return (
-        scored.join(F.broadcast(band), "model", "left")
+        scored.join(F.broadcast(band), MODEL, "left")
         .withColumn("z", z)
         .withColumn("kept", ~F.col("base_failed") & inside)
         .select(*[f"`{c}`" for c in keep if c not in (*METRICS, "kept", "base_failed", "log_perplexity", "z")], *METRICS, "base_failed", "kept", "log_perplexity", "z")

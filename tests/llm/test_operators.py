@@ -126,6 +126,13 @@ def test_cover_tree_equals_brute_force(spark, monkeypatch, block):
     assert t2.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_of_any_length_link(spark):
+    """Squares of these components over- or underflow; the direction alone decides."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 1e-200]), (4, [1e-200, 1.0001e-200]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.0]), (7, [-1e200, 1e200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in t2.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def test_traversal_prunes_separate_clusters():
     rng = np.random.default_rng(4)
     c = np.eye(8)
@@ -290,6 +297,15 @@ def test_perplexity_band_rejects_junk_and_keeps_prose(spark):
     assert all(out[i] for i in range(300)) and not any(out[1000 + i] for i in range(5))
 
 
+def test_quality_rules_keep_columns_of_any_name(spark, docs):
+    """Kept columns whose names the operator uses inside stay as they are; its own results replace theirs."""
+    odd = docs.selectExpr("doc_id", "text", "lang", "1 AS middle", "'s' AS spread", "7L AS model", "8L AS n_scored", "9 AS n", "1.0 AS z", "false AS base_failed")
+    out = t5.quality_rules(odd, keep=odd.columns)
+    assert out.where("middle <> 1 OR spread <> 's' OR model <> 7 OR n_scored <> 8 OR n <> 9").count() == 0 and out.count() == docs.count()
+    plain = bag(t5.quality_rules(docs.select("doc_id", "text", "lang")).select("doc_id", "kept", "n_words"))
+    assert bag(out.select("doc_id", "kept", "n_words")) == plain
+
+
 # ---- op6 --------------------------------------------------------------------------------------
 
 
