@@ -128,6 +128,19 @@ def q_forest_importance(spark, sf):
     return ML.feature_importances(_forest(spark, sf), ff.feature_names)
 
 
+@query("gbt_importance")
+def q_gbt_importance(spark, sf):
+    """Ranked importances of the boosted trees."""
+    ff, _, _ = _train_test(spark, sf, "v2")
+    return ML.feature_importances(_gbt(spark, sf), ff.feature_names)
+
+
+@query("scoring_columns", with_v("SELECT * EXCLUDE (EmployeeCount, Over18, StandardHours, Attrition, RiskMargin, Risk) FROM v"))
+def q_scoring_columns(spark, sf):
+    """The roster as it is scored: the fixed non-feature columns dropped, absent ones ignored."""
+    return drop_for_scoring(E(spark, sf).drop("RiskMargin", "Risk", "Over18"))
+
+
 @query("gbt_scores")
 def q_gbt_scores(spark, sf):
     """Boosted trees on the SMOTE-Tomek-resampled v2 training rows: hold-out probabilities."""
