@@ -327,6 +327,21 @@ def test_sentencepiece_parity_and_round_trip(spark, docs, empty):
     assert t6.tokenize(empty, path).count() == 0
 
 
+def test_a_difference_is_marked_and_stops_nothing():
+    class Other:
+        def encode(self, x, num_threads=1):
+            return [[0]] * len(x) if isinstance(x, list) else [0]
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = t6.SentencePiece(path)
+    texts = [f"some words {i}" for i in range(500)]
+    want = own.lib.encode(texts)
+    own.bare = own.lib = Other()
+    assert [x.tolist() for x in own.encode(texts)] == want and own.differ  # the backend's own ids, the difference noted
+    marked = [own.whole_differs(t, np.array(x)) for t, x in zip(texts, want)]
+    assert marked == [zlib.crc32(t.encode()) % t6.WHOLE == 0 for t in texts] and any(marked) and not all(marked)
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     import struct
 
