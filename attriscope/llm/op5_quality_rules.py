@@ -1,134 +1,148 @@
 """Quality rules by n-gram perplexity.
 
-A modified Kneser-Ney model over character classes is counted by Spark for
-every language, on all documents.  Each document gets its mean negative
-log-probability a character; a language's documents give a lower and an upper
-band, and documents outside the band are rejected.
+Spark counts the character 4-grams of all documents by language and makes a modified Kneser-Ney model of
+them.  Each document gets the negative log-probability of all its characters for each of its letters (so symbols
+cost and do not lengthen a text); the documents of a language give a lower and an upper band, and documents outside
+the band are rejected.
 
-Characters fold to ``CLASSES`` = 32 classes (case folded, letters by a rule,
-other scripts' letters hashed onto the letters), so an ``ORDER`` = 4 model has at
-most 32**4 entries a language.  The ``MAX_MODELS`` most frequent languages have a
-model and a band of their own, all others (and null) share one; with
-that, the broadcast model is at most 9 x 1,082,400 entries of 12 bytes whatever the input.
+Characters are UTF-16 code units as they stand: no folding, so case, every symbol and every script count.
+A 4-gram fills 64 bits exactly.  Every language (and null) has a model and a band of its own, as rows keyed by the
+language: neither their number nor the number of n-grams has a limit, and no model is broadcast or collected.
 
-Counting: each task counts its part of the corpus in dense arrays and sends
-one row for each n-gram it saw, so what is gathered grows with the number of
-tasks, that is with the input.  All lower orders are continuation counts of the highest.
+1. The scan is cut into packs of about ``PACK`` bytes of text.  Each pack sends its distinct n-grams with their
+   counts, so what is gathered grows with the input; summed by language they are the counts of the model.  All
+   lower orders are continuation counts of the highest.
+2. The model's rows go back to the packs that asked for them; each pack, compressed, meets its slice of the model
+   in a cogroup, where the slice is a sorted hash array.  A task holds one pack and one slice.
 
-Band: from ``LOWER`` robust standard deviations below to ``UPPER`` above the language's
-median; deviations are scaled by the root of the length, as a short text's mean scatters more.
+Both passes must cut the same packs: an input that is not a plain scan of files is written first.  If
+an n-gram of a pack is not in its slice, the job stops with a message; it never scores by less.
+
+Band: from ``LOWER`` robust standard deviations below to ``UPPER`` above the median of a language's distinct scores
+(a group of copies counts once, so it cannot move the band).  A deviation is scaled by the root of the length, up to
+``LENGTH`` letters, as a short text's mean scatters more.  The spread is drawn towards ``SPREAD`` with the weight of
+``PRIOR`` documents, so a language with few documents has a band too; it depends on no other language's rows.
 
 Edge cases: null and empty texts have no word and fail the base rules; a text
-without a scored character has perplexity null and no verdict of the model;
-a language with fewer than ``MIN_BAND`` scored documents has no band and rejects
-nothing; repeated rows are counted as often as they occur; an empty table gives no row.
+without a letter or digit has perplexity null and no verdict of the model; a null language is a language of its own;
+repeated rows are counted as often as they occur; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attriscope.llm.common import annotate, parts_of, small_batches, stored, table, texts_of
-from attriscope.llm.words import Words, longs, per_text
+from attriscope.llm.common import parts_of, small_batches, stored, table, texts_of
+from attriscope.llm.words import Words, longs, mix64, per_text
+from attriscope.operators.common import join_small
 
-ORDER, BITS = 4, 5
+ORDER, BITS = 4, 16
 CLASSES = 1 << BITS
-MAX_MODELS = 8
-MIN_BAND = 50
-LOWER, UPPER = 8.0, 16.0
+PACK = 16 << 20
+LOWER, UPPER = 8.0, 8.0
+LENGTH, PRIOR, SPREAD = 1000.0, 20.0, 2.0
 MIN_WORDS, MAX_REPEAT = 10, 20
 SYMBOLS = b"#*$%&|<>"
-
-
-def _classes() -> np.ndarray:
-    """Class of each UTF-16 code unit: 0 line end, 1 space, 2 digit, 3 punctuation, 4 symbol, 5..31 letters."""
-    c = np.arange(65536)
-    out = 5 + c % 27  # letters of other scripts
-    low = np.where((c >= 65) & (c <= 90), c + 32, c)
-    letter = (low >= 97) & (low <= 122)
-    out = np.where(letter, 5 + (low - 97), out)
-    out = np.where((c < 128) & ~letter, 4, out)
-    out[[ord(x) for x in ".,;:!?'\"()-"]] = 3
-    out[48:58] = 2
-    out[[9, 11, 12, 32]] = 1
-    out[[10, 13]] = 0
-    for a, b in zip("ÀÈÉÊÇÄÖÜÑÍÓÁÚ", "àèéêçäöüñíóáú"):  # case of common accented letters
-        out[ord(a)] = out[ord(b)]
-    return out.astype(np.int64)
-
-
-_CLASS = _classes()
+_LETTER = np.arange(CLASSES) >= 128  # letters and digits: of ASCII by kind, else all
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(4-gram code, document) at each character; each text is padded with line ends on its left."""
     pad = "\n" * (ORDER - 1)
-    joined = [pad + t for t in texts]
-    units = [t.encode("utf-16-le", "surrogatepass") for t in joined]
-    u = _CLASS[np.frombuffer(b"".join(units), "<u2")]
-    doc = np.repeat(np.arange(len(units)), np.fromiter((len(x) // 2 for x in units), np.int64, len(units)))
-    run = np.zeros(len(u), bool)  # a run of one class other than letters and line ends is one position
-    run[1:] = (u[1:] == u[:-1]) & (u[1:] > 0) & (u[1:] < 5) & (doc[1:] == doc[:-1])
-    u, doc = u[~run], doc[~run]
-    size = np.bincount(doc, minlength=len(units))
-    code = np.zeros(len(u), np.int64)
-    code[:] = u
+    units = [(pad + t).encode("utf-16-le", "surrogatepass") for t in texts]
+    u = np.frombuffer(b"".join(units), "<u2").astype(np.uint64)
+    size = np.fromiter((len(x) // 2 for x in units), np.int64, len(units))
+    code = u.copy()
     for k in range(1, ORDER):
-        code[k:] |= u[:-k] << (BITS * k)
+        code[k:] |= u[:-k] << np.uint64(BITS * k)
     begin = np.cumsum(size) - size
-    head = np.zeros(len(u), bool)
+    inside = np.ones(len(u), bool)
     for k in range(ORDER - 1):
-        head[(begin + k)[size > k]] = True
-    return code[~head], doc[~head]
+        inside[begin + k] = False
+    return code[inside], np.repeat(np.arange(len(units)), size - (ORDER - 1))
+
+
+def packs(batches: Iterable[pa.RecordBatch], pack_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(pack number, its rows) of a task: cut by the bytes of the texts (first column) alone, however the batches are cut."""
+    first = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = number = 0
+    for batch in batches:
+        upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0), np.int64) + 64)
+        at, before = 0, 0
+        while at < batch.num_rows:
+            end = min(batch.num_rows, int(np.searchsorted(upto, before + pack_bytes - size)) + 1)
+            held.append(batch.slice(at, end - at))
+            size += int(upto[end - 1]) - before
+            at, before = end, int(upto[end - 1])
+            if size >= pack_bytes:
+                yield first + number, held
+                held, size, number = [], 0, number + 1
+    if held:
+        yield first + number, held
+
 
+def by_language(texts: list[str], lang: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, its rows) of a batch."""
+    rows: dict[str, list[int]] = {}
+    for i, m in enumerate(lang):
+        rows.setdefault(m, []).append(i)
+    for m, own in rows.items():
+        yield m, np.array(own)
 
-def language_models(docs: DataFrame, lang_col: str) -> list[str]:
-    """The languages with a model of their own, by number of documents."""
-    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).groupBy(F.col(f"`{lang_col}`").alias("l")).count()
-    return [r["l"] for r in rows.orderBy(F.desc("count"), "l").limit(MAX_MODELS).collect()]
 
+def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of several (codes, counts), counts added."""
+    code, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
 
-def _model_of(langs: list[str], lang) -> np.ndarray:
-    of = {v: i for i, v in enumerate(langs)}
-    return np.fromiter((of.get(v, len(langs)) for v in lang.to_pylist()), np.int64, len(lang))
 
+def language_key(lang_col: str):
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string")), F.lit(""))
 
-def count_ngrams(docs: DataFrame, langs: list[str], text_col: str, lang_col: str) -> DataFrame:
-    """(model, code, n): how often each 4-gram occurs in all texts of a model's language."""
-    src = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+
+def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, pack_bytes: int = PACK) -> DataFrame:
+    """(pack, model, code, n): how often each 4-gram occurs in a pack's texts of a language."""
+    src = docs.select(F.col(f"`{text_col}`").alias("text"), language_key(lang_col).alias("model"))
 
     def count(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            texts, model = texts_of(batch.column(0)), _model_of(langs, batch.column(1))
-            for m in np.unique(model):
-                own = [t for t, k in zip(texts, model) if k == m]
-                if m not in total:
-                    total[m] = np.zeros(CLASSES**ORDER, np.int64)
-                for part in parts_of(own):
-                    code, _ = codes_of(own[part])
-                    total[m] += np.bincount(code, minlength=CLASSES**ORDER)
-        for m, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([longs(np.full(len(at), m)), longs(at), longs(n[at])], names=["model", "code", "n"])
+        for pack, rows in packs(batches, pack_bytes):
+            found: dict[str, list] = {}
+            for batch in rows:
+                texts, lang = texts_of(batch.column(0)), batch.column(1).to_pylist()
+                for m, own in by_language(texts, lang):
+                    mine = [texts[i] for i in own]
+                    for part in parts_of(mine, 1 << 21):
+                        found.setdefault(m, []).append(np.unique(codes_of(mine[part])[0], return_counts=True))
+                    if len(found[m]) > 16:
+                        found[m] = [merged(found[m])]
+            for m, parts in found.items():
+                code, n = merged(parts)
+                if len(code):
+                    same = [pa.array([x]).take(pa.array(np.zeros(len(code), np.int32))) for x in (pack, m)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(code.view(np.int64)), longs(n)], names=["pack", "model", "code", "n"])
 
     small_batches(docs.sparkSession)
-    parts = src.mapInArrow(count, "model long, code long, n long")
-    return stored(parts.groupBy("model", "code").agg(F.sum("n").alias("n")), "ngrams")  # every order starts from them
+    return stored(src.mapInArrow(count, "pack long, model string, code long, n long"), "ngrams")
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(model, ord, code, p, backoff): interpolated modified Kneser-Ney from counts of the highest order.
+def kneser_ney(grams: DataFrame) -> list[DataFrame]:
+    """For each order (model, code, p, h, gamma): interpolated modified Kneser-Ney from counts of the highest order.
 
-    p is the interpolated probability of the n-gram's last class after the others; backoff is the
-    weight of the shorter history when a longer n-gram with this n-gram as history is unseen.
+    p is the interpolated probability of the n-gram's last character after the others; gamma is the
+    weight of the shorter history when an n-gram with this history h is unseen.
     """
-    levels = {ORDER: counts.select("model", "code", F.col("n").cast("double").alias("n"))}
-    for o in range(ORDER - 1, 0, -1):  # continuation counts: distinct classes to the left
+    levels = {ORDER: grams.groupBy("model", "code").agg(F.sum("n").cast("double").alias("n")).checkpoint()}
+    for o in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters to the left
         tail = F.col("code").bitwiseAND(F.lit((1 << (BITS * o)) - 1))
         levels[o] = levels[o + 1].groupBy("model", tail.alias("code")).agg(F.count("*").cast("double").alias("n"))
     out, lower = [], None
@@ -141,81 +155,51 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             raw = F.coalesce(F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k))
             return F.greatest(F.lit(0.05), F.least(raw, F.lit(k - 0.05))).alias(f"d{k}")
 
-        f = f.select("model", d(1), d(2), d(3))
-        hist = F.shiftright("code", BITS)
+        f = f.select("model", d(1), d(2), d(3)).checkpoint()  # a row for each language
         disc = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        c = c.join(F.broadcast(f), "model").withColumn("h", hist).withColumn("d", disc)
-        w = Window.partitionBy("model", "h")
+        c = join_small(c, f, "model").withColumn("h", F.shiftrightunsigned("code", BITS)).withColumn("d", disc)
+        w = Window.partitionBy("model", "h")  # at most CLASSES rows
         c = c.withColumn("all", F.sum("n").over(w)).withColumn("gamma", F.sum("d").over(w) / F.col("all"))
         if lower is None:
-            base = F.lit(1.0 / CLASSES)
-            c = c.withColumn("p", (F.col("n") - F.col("d")) / F.col("all") + F.col("gamma") * base)
+            below = F.lit(1.0 / CLASSES)
         else:
             low = lower.select("model", F.col("code").alias("tail"), F.col("p").alias("plow"))
             c = c.withColumn("tail", F.col("code").bitwiseAND(F.lit((1 << (BITS * (o - 1))) - 1))).join(low, ["model", "tail"])
-            c = c.withColumn("p", (F.col("n") - F.col("d")) / F.col("all") + F.col("gamma") * F.col("plow"))
-        c = c.select("model", F.lit(o).alias("ord"), "code", "p", "h", "gamma").checkpoint()
-        out.append(c.select("model", "ord", "code", "p", "h", "gamma"))
-        lower = c
-    both = out[0]
-    for x in out[1:]:
-        both = both.unionByName(x)
-    return both
-
-
-def key_of(model, order, code) -> np.ndarray:
-    """Hash by which the arrays are sorted: a bijection of (model, order, code), so no two entries share one."""
-    x = (np.uint64(1) * np.asarray(model, np.uint64) << np.uint64(24)) | (np.uint64(order) << np.uint64(21)) | np.asarray(code, np.uint64)
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return x ^ (x >> np.uint64(29))
-
-
-class HashedModel:
-    """Sorted hash arrays: n-gram keys with log-probabilities, history keys with log backoff weights."""
-
-    def __init__(self, rows: pa.Table):
-        m, o, c = (rows.column(x).to_numpy().astype(np.uint64) for x in ("model", "ord", "code"))
-        h = rows.column("h").to_numpy().astype(np.uint64)
-        keys = np.concatenate([key_of(m[o == k], k, c[o == k]) for k in range(1, ORDER + 1)])
-        p = np.concatenate([rows.column("p").to_numpy()[o == k] for k in range(1, ORDER + 1)])
+            below = F.col("plow")
+        c = c.withColumn("p", (F.col("n") - F.col("d")) / F.col("all") + F.col("gamma") * below)
+        lower = c.select("model", "code", "p", "h", "gamma").checkpoint()
+        out.append(lower)
+    return out
+
+
+class HashedSlice:
+    """Sorted hash array of 4-grams with their log-probabilities."""
+
+    def __init__(self, code: np.ndarray, logp: np.ndarray):
+        keys = mix64(code.astype(np.int64).view(np.uint64))  # a bijection, so no two n-grams share a key
         order = np.argsort(keys)
-        self.keys, self.logp = keys[order], np.log(p[order]).astype(np.float32)
-        hk = np.concatenate([key_of(m[o == k], k, h[o == k]) for k in range(1, ORDER + 1)])
-        g = np.concatenate([rows.column("gamma").to_numpy()[o == k] for k in range(1, ORDER + 1)])
-        self.hist, at = np.unique(hk, return_index=True)
-        self.logb = np.log(g[at]).astype(np.float32)
-
-    @staticmethod
-    def _find(keys, values, want, default):
-        if not len(keys):
-            return np.full(len(want), default, np.float32), np.zeros(len(want), bool)
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        hit = keys[at] == want
-        return np.where(hit, values[at], np.float32(default)), hit
-
-    def score(self, model: int, codes: np.ndarray) -> np.ndarray:
-        """Log-probability of each 4-gram's last class, backing off to shorter histories."""
-        out = np.zeros(len(codes), np.float32)
-        todo = np.arange(len(codes))
-        for o in range(ORDER, 0, -1):
-            c = codes[todo] & ((1 << (BITS * o)) - 1)
-            lp, hit = self._find(self.keys, self.logp, key_of(model, o, c), 0.0)
-            out[todo[hit]] += lp[hit]
-            todo, c = todo[~hit], c[~hit]
-            back, _ = self._find(self.hist, self.logb, key_of(model, o, c >> BITS), 0.0)
-            out[todo] += back
-        out[todo] += np.float32(np.log(1.0 / CLASSES))
-        return out
-
-    def scores(self, model: int, codes: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """:meth:`score` by way of ``seen``, a table of this task's scores so far (NaN: not asked for yet)."""
-        out = seen[codes]
-        new = np.unique(codes[np.isnan(out)])
-        if len(new):
-            seen[new] = self.score(model, new)
-            out = seen[codes]
-        return out
+        self.keys, self.logp = keys[order], logp[order].astype(np.float64)
+
+    def score(self, codes: np.ndarray) -> np.ndarray:
+        want = mix64(codes)
+        at = np.minimum(np.searchsorted(self.keys, want), max(0, len(self.keys) - 1))
+        if len(want) and not (len(self.keys) and np.array_equal(self.keys[at], want)):
+            raise RuntimeError("the input changed its order between two reads; write it to files first")
+        return self.logp[at]
+
+
+def slice_scores(texts: list[str], lang: list[str], model: dict[str, HashedSlice]) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the log-probabilities of all characters, number of letters and digits) of each text."""
+    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for m, own in by_language(texts, lang):
+        mine = [texts[i] for i in own]
+        for part in parts_of(mine):
+            code, doc = codes_of(mine[part])
+            if len(code):
+                rows = own[part]
+                total[rows] = per_text(model[m].score(code), doc, len(rows))
+                size[rows] = np.bincount(doc[_LETTER[code & np.uint64(CLASSES - 1)]], minlength=len(rows))
+    return total, size
 
 
 def base_counts(texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -260,62 +244,93 @@ MODEL, SCORED = "__model", "__n_scored"  # names that no kept column has
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether a second read gives the same rows in the same tasks: files or local rows, without a shuffle."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return not any(x in plan for x in ("Exchange", "InMemoryTableScan", "Python", "Arrow"))
+
+
+def scored_rows(docs: DataFrame, grams: DataFrame, top: DataFrame, text_col: str, lang_col: str, keep: list[str], pack_bytes: int = PACK) -> DataFrame:
+    """Columns ``keep`` with METRICS, MODEL, SCORED and log_perplexity: each pack with its slice of the model."""
+    fields = [T.StructField(c, T.LongType()) for c in METRICS]
+    fields += [T.StructField(MODEL, T.StringType()), T.StructField(SCORED, T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
+    src = docs.select(F.col(f"`{text_col}`").alias("__text"), language_key(lang_col).alias("__lang"), *[F.col(f"`{c}`") for c in keep if c != text_col])
+    schema = T.StructType([docs.schema[c] for c in keep] + fields)
+    others = [c for c in keep if c != text_col]
+
+    def pack_up(batches):
+        for pack, rows in packs(batches, pack_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                for batch in rows:
+                    out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = {}
+        for m in pc.unique(right.column("model")).to_pylist():
+            own = right.filter(pc.equal(right.column("model"), m))
+            model[m] = HashedSlice(own.column("code").to_numpy(), own.column("logp").to_numpy())
+        out = []
+        for data in left.column("data"):
+            for batch in pa.ipc.open_stream(data.as_buffer()):
+                texts, lang = texts_of(batch.column(0)), batch.column(1).to_pylist()
+                total, size = slice_scores(texts, lang, model)
+                base = [longs(np.concatenate(x)) for x in zip(*(base_counts(texts[part]) for part in parts_of(texts)))]
+                mean = pa.array(-total / np.maximum(size, 1), pa.float64(), mask=size == 0)
+                kept = [batch.column(0) if c == text_col else batch.column(2 + others.index(c)) for c in keep]
+                arrays = [*kept, *base, pa.array(lang, pa.string()), longs(size), mean]
+                out.append(pa.RecordBatch.from_arrays(arrays, names=schema.names))
+        return pa.Table.from_batches(out)
+
+    small_batches(docs.sparkSession)
+    left = src.mapInArrow(pack_up, "pack long, data binary")
+    right = grams.join(top.select("model", "code", F.log("p").cast("float").alias("logp")), ["model", "code"]).select("pack", "model", "code", "logp")
+    return left.groupBy("pack").cogroup(right.groupBy("pack")).applyInArrow(score, schema)
+
+
+def quality_rules(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    keep: list[str] | None = None,
+    pack_bytes: int = PACK,
+) -> DataFrame:
     """Columns ``keep`` (default: id) with the base counts, base_failed, kept, log_perplexity and z, which replace kept columns of their names."""
-    spark = docs.sparkSession
-    langs = language_models(docs, lang_col)
-    model = HashedModel(kneser_ney(count_ngrams(docs, langs, text_col, lang_col)).toArrow())
-    shared = spark.sparkContext.broadcast(model)  # at most 9 x 1,082,400 entries, see above
-    keep = [id_col] if keep is None else keep
-    if keep == [id_col]:
-        docs = docs.select(id_col, text_col, lang_col)  # another column may bear one of the names made here
-    longs_ = [T.StructField(c, T.LongType()) for c in METRICS]
-    fields = longs_ + [T.StructField(MODEL, T.LongType()), T.StructField(SCORED, T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
-
-    def make():
-        seen: dict[int, np.ndarray] = {}
-
-        def run(text, lang):
-            texts, own = texts_of(text), _model_of(langs, lang)
-            n = len(texts)
-            total, size = np.zeros(n), np.zeros(n, np.int64)
-            for m in np.unique(own):
-                if m not in seen:
-                    seen[m] = np.full(CLASSES**ORDER, np.nan, np.float32)
-                rows = np.flatnonzero(own == m)
-                code, doc = codes_of([texts[i] for i in rows])
-                total[rows] = per_text(shared.value.scores(int(m), code, seen[m]), doc, len(rows))
-                size[rows] = np.bincount(doc, minlength=len(rows))
-            mean = pa.array(-total / np.maximum(size, 1), pa.float64(), mask=size == 0)
-            return [*map(longs, base_counts(texts)), longs(own), longs(size), mean]
-
-        return run
-
-    scored = annotate(docs, [text_col, lang_col], fields, make, keep, chunk_bytes=1 << 19)
+    made = [*METRICS, "base_failed", "kept", "log_perplexity", "z"]
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in made]
+    docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col, lang_col])])
+    if not plain_scan(docs):
+        docs = stored(docs, "quality-input")
+    grams = count_ngrams(docs, text_col, lang_col, pack_bytes)
+    top = kneser_ney(grams)[-1]
+    scored = stored(scored_rows(docs, grams, top, text_col, lang_col, keep, pack_bytes), "perplexity")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    if keep == [id_col]:
-        scored = scores = stored(scored, "perplexity")
-    else:  # scores only are written; the rows themselves are scored again on their way out
-        scores = stored(scored.select(MODEL, SCORED, "log_perplexity", "base_failed"), "perplexity")
-    band = bands(scores.withColumnsRenamed({MODEL: "model", SCORED: "n_scored"}))
+    band = bands(scored.select(F.col(MODEL).alias("model"), F.col(SCORED).alias("n_scored"), "log_perplexity", "base_failed"))
     band = band.select(F.col("model").alias(MODEL), F.col("middle").alias("__middle"), F.col("spread").alias("__spread"))
-    z = F.try_divide((F.col("log_perplexity") - F.col("__middle")) * F.sqrt(SCORED), F.col("__spread"))
+    z = (F.col("log_perplexity") - F.col("__middle")) * weight(F.col(SCORED)) / F.col("__spread")
     inside = F.coalesce((F.col("z") >= -LOWER) & (F.col("z") <= UPPER), F.lit(True))
     return (
-        scored.join(F.broadcast(band), MODEL, "left")
+        join_small(scored, band, MODEL, "left")
         .withColumn("z", z)
         .withColumn("kept", ~F.col("base_failed") & inside)
-        .select(*[f"`{c}`" for c in keep if c not in (*METRICS, "kept", "base_failed", "log_perplexity", "z")], *METRICS, "base_failed", "kept", "log_perplexity", "z")
+        .select(*[f"`{c}`" for c in keep], *made)
     )
 
 
+def weight(n):
+    """Root of a length that stops growing near LENGTH: longer texts differ by more than chance."""
+    return F.sqrt(n * LENGTH / (n + LENGTH))
+
+
 def bands(scored: DataFrame) -> DataFrame:
-    """(model, middle, spread) of written scores: at most MAX_MODELS + 1 rows.
+    """(model, middle, spread) of written scores: a row for each language that has a scored document past the base rules.
 
-    Medians come from counts over cells of 1/512 nat and of 1/64 spread unit: bounded partial aggregates of all documents.
+    Medians come from counts over cells of 1/512 nat and of 1/64 spread unit: partial aggregates of all documents.
     """
-    use = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).select("model", "n_scored", "log_perplexity")
+    use = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).select("model", "n_scored", "log_perplexity").distinct()
 
     def median(x, step):
         cells = x.groupBy("model", F.floor(F.col("v") / step).alias("cell")).agg(F.count("*").alias("n"))
@@ -324,10 +339,10 @@ def bands(scored: DataFrame) -> DataFrame:
         cells = cells.withColumn("upto", upto).withColumn("all", F.sum("n").over(w))
         return cells.where(2 * F.col("upto") >= F.col("all")).groupBy("model").agg(((F.min("cell") + 0.5) * step).alias("m"), F.max("all").alias("n"))
 
-    mid = median(use.select("model", F.col("log_perplexity").alias("v")), 1 / 512).where(F.col("n") >= MIN_BAND)
-    mid = mid.select("model", F.col("m").alias("middle"))
-    off = use.join(F.broadcast(mid), "model").select("model", (F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_scored")).alias("v"))
-    spread = median(off, 1 / 64).select("model", (F.col("m") * 1.4826).alias("spread"))
+    mid = median(use.select("model", F.col("log_perplexity").alias("v")), 1 / 512).select("model", F.col("m").alias("middle")).checkpoint()
+    off = join_small(use, mid, "model").select("model", (F.abs(F.col("log_perplexity") - F.col("middle")) * weight(F.col("n_scored"))).alias("v"))
+    own = F.pow(F.col("m") * 1.4826, 2)
+    spread = median(off, 1 / 64).select("model", F.sqrt((F.col("n") * own + PRIOR * SPREAD**2) / (F.col("n") + PRIOR)).alias("spread"))
     return mid.join(spread, "model").checkpoint()
 
 

@@ -263,19 +263,62 @@ def brute_kn(codes):
 
 
 def test_kneser_ney_equals_brute_force(spark):
-    text = "the cat sat on the mat. the cat ran at the rat; that is that."
+    text = "the cat sat on the mat. The cat ran at the rat; THAT is that!! \u0448\U0001f600"
     df = spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "der Hund", "de")], "doc_id long, text string, lang string")
-    langs = t5.language_models(df, "lang")
-    model = t5.HashedModel(t5.kneser_ney(t5.count_ngrams(df, langs, "text", "lang")).toArrow())
-    split = lambda c: tuple((c >> (5 * (3 - i))) & 31 for i in range(4))
-    codes = t5.codes_of([text, ""])[0].tolist()
+    grams = t5.count_ngrams(df, "text", "lang")
+    orders = [x.toPandas() for x in t5.kneser_ney(grams)]
+    unit = (1 << t5.BITS) - 1
+    split = lambda c, o=4: tuple((int(c) >> (t5.BITS * (o - 1 - i))) & unit for i in range(o))
+    codes = t5.codes_of([text, ""])[0]
     prob = brute_kn([split(c) for c in codes])
-    rng = np.random.default_rng(8)
-    asked = np.array(codes + rng.integers(0, 32**4, 300).tolist())
-    got = model.score(langs.index("en"), asked)
-    assert np.allclose(got, [math.log(prob(split(int(c)))) for c in asked], atol=1e-4)
-    history = asked[0] >> 5 << 5
-    assert abs(np.exp(model.score(0, history + np.arange(32))).sum() - 1) < 1e-3  # a distribution
+    for o, x in enumerate(orders, 1):
+        x = x[x.model == "=en"]
+        want = {split(c, 4)[4 - o:] for c in codes}
+        got = {split(np.int64(c).view(np.uint64), o): p for c, p in zip(x.code, x.p)}
+        assert set(got) == want and all(abs(p - prob(g)) < 1e-9 for g, p in got.items())
+    # the scores of whole texts are the sums of these logarithms for each letter
+    out = {r.doc_id: r for r in t5.quality_rules(df).collect()}
+    letters = sum((x >> 8 > 0) or chr(x).isalnum() for x in np.frombuffer(text.encode("utf-16-le"), "<u2").tolist())
+    assert abs(out[1].log_perplexity + sum(math.log(prob(split(c))) for c in codes) / letters) < 1e-4
+    assert out[2].log_perplexity is None
+
+
+def test_packs_and_order_change_no_verdict(spark, docs):
+    """Many small packs, one pack, or an input that comes from a shuffle: the same rows."""
+    src = docs.select("doc_id", "text", "lang")
+    want = sorted(map(str, t5.quality_rules(src).collect()))
+    assert sorted(map(str, t5.quality_rules(src, pack_bytes=100).collect())) == want
+    assert sorted(map(str, t5.quality_rules(src.repartition(5), pack_bytes=500).collect())) == want
+
+
+def invented(n, syllables, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    return [" ".join(word() for _ in range(r.randint(40, 300))) for _ in range(n)]
+
+
+def test_bands_reject_symbols_and_tables_in_any_language(spark):
+    """Junk goes and prose stays; a rare language's verdicts are the same alone and beside a large one."""
+    many = ["the", "an", "re", "on", "er", "st", "ing", "ed", "ou"]
+    rows = [(i, t, "en") for i, t in enumerate(invented(400, many, 1))]
+    rows += [(1000 + i, " ".join(w + "%#$&"[j % 4] * 3 for j, w in enumerate(t.split())), "en") for i, t in enumerate(invented(10, many, 2))]
+    rows += [(2000 + i, " | ".join(t.split()), "en") for i, t in enumerate(invented(10, many, 3))]
+    rare = [(5000 + i, t, "xx") for i, t in enumerate(invented(12, ["ka", "lo", "mi", "nu", "po"], 4))]
+    rare += [(6000, " ".join(random.Random(5).choice(["q%z", "#x", "w&&"]) for _ in range(200)), "xx"), (6001, rare[0][1], "xx")]
+    run = lambda x: {r.doc_id: (r.kept, r.z) for r in t5.quality_rules(spark.createDataFrame(x, "doc_id long, text string, lang string")).collect()}
+    both, alone = run(rows + rare), run(rare)
+    assert sum(both[i][0] for i in range(400)) >= 398
+    assert not any(v[0] for i, v in both.items() if 1000 <= i < 5000)
+    assert all(v[0] == (i != 6000) for i, v in alone.items())
+    assert all(abs(both[i][1] - alone[i][1]) < 1e-6 and both[i][0] == alone[i][0] for i in alone)
+
+
+def test_more_languages_than_any_list_and_one_long_text(spark):
+    rows = [(i, t, f"l{i % 40}") for i, t in enumerate(invented(80, ["ab", "cd", "ef"], 6))]
+    rows += [(900, " ".join(invented(3000, ["ab", "cd", "ef"], 7)), "l1"), (901, None, None), (902, "!!! ??? ...", "l2")]
+    out = {r.doc_id: r for r in t5.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == 83 and all(out[i].z is not None for i in range(80)) and out[900].n_words > 400_000
+    assert out[901].z is None and out[902].log_perplexity is None and not out[902].kept
 
 
 def test_quality_rules_on_edge_rows(docs, empty):
@@ -299,9 +342,9 @@ def test_perplexity_band_rejects_junk_and_keeps_prose(spark):
 
 def test_quality_rules_keep_columns_of_any_name(spark, docs):
     """Kept columns whose names the operator uses inside stay as they are; its own results replace theirs."""
-    odd = docs.selectExpr("doc_id", "text", "lang", "1 AS middle", "'s' AS spread", "7L AS model", "8L AS n_scored", "9 AS n", "1.0 AS z", "false AS base_failed")
+    odd = docs.selectExpr("doc_id", "text", "lang", "1 AS middle", "'s' AS spread", "7L AS model", "8L AS n_scored", "9 AS n", "1.0 AS z", "false AS base_failed", "5 AS pack", "'b' AS data")
     out = t5.quality_rules(odd, keep=odd.columns)
-    assert out.where("middle <> 1 OR spread <> 's' OR model <> 7 OR n_scored <> 8 OR n <> 9").count() == 0 and out.count() == docs.count()
+    assert out.where("middle <> 1 OR spread <> 's' OR model <> 7 OR n_scored <> 8 OR n <> 9 OR pack <> 5 OR data <> 'b'").count() == 0 and out.count() == docs.count()
     plain = bag(t5.quality_rules(docs.select("doc_id", "text", "lang")).select("doc_id", "kept", "n_words"))
     assert bag(out.select("doc_id", "kept", "n_words")) == plain
 
