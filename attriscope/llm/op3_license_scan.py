@@ -11,7 +11,7 @@ Everything happens inside a row: no join, no shuffle, no hot key.  Known
 sentences are a constant list.  Each of them holds one of the words in ``CUES``
 (checked on import), so a text without any of these needs no sentence split.
 
-Edge cases: null and empty texts have no licence; a text may match several rules
+Edge cases: null and empty texts have no licence, nor has a text whose licence is outside the rules; a text may match several rules
 (all are returned, in rule order) or one rule several times (returned once); repeated
 rows get equal results; an empty table gives no row.
 """

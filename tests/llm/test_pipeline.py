@@ -24,6 +24,20 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(ids[5])
 
 
+def test_stages_on_edge_rows(spark, docs, empty):
+    """Nulls, blank texts, repeated rows and an empty table through every stage."""
+    for source in (docs, empty):
+        rows = source.selectExpr("doc_id", "text", "lang", "source", "CAST(length(text) AS long) AS n_chars")
+        for name, stage in corpus_pipeline.STAGES:
+            before = rows.collect()
+            rows = stage(spark, spark.createDataFrame(before, rows.schema), SF)
+            after = rows.collect()
+            assert {r.doc_id for r in after} <= {r.doc_id for r in before} and (before or not after)
+            assert all(r.text and r.text.strip() for r in after)
+            if name == "near_duplicates":
+                assert len({r.text for r in after}) == len(after)
+
+
 def test_sql_forms(spark):
     con = duckdb.connect()
     for table in ("documents", "embeddings"):
