@@ -10,8 +10,12 @@ of ``documents``; the last one adds the pieces of each text.
 4. mixing              documents repeat or go by the fair-queue mix of their sources
 5. sentencepiece       every remaining text is encoded, decoded and checked
 
-No stage has an SQL form for all its steps, so ``ORACLE_SQL`` is None; tests/llm compares each stage with a
-brute-force version.
+Edge rows: null, empty and blank texts go at stage 1 (they have no feature); repeated rows pass stages 1 and 2 each
+and one of them stays at stage 3; null ids, languages and sources are kept as values; an empty table passes all
+stages and gives no row.
+
+No stage has an SQL form for all its steps, so ``ORACLE_SQL`` is None; tests/llm compares the operators behind the
+stages with brute force, and checks what each stage keeps.
 """
 
 from __future__ import annotations
