@@ -47,7 +47,7 @@ from attriscope.operators.common import join_small
 ORDER, BITS = 4, 16
 CLASSES = 1 << BITS
 PACK = 16 << 20
-LOWER, UPPER = 8.0, 8.0
+LOWER, UPPER = 8.0, 12.0
 LENGTH, PRIOR, SPREAD = 1000.0, 20.0, 2.0
 MIN_WORDS, MAX_REPEAT = 10, 20
 SYMBOLS = b"#*$%&|<>"
