@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame functions only).
 
 Every source has a queue of its documents in shuffled order (by the MD5 of
-seed and id), walked twice at most.  A document's virtual finish time is the
+seed, id and the text's MD5), walked twice at most.  A document's virtual finish time is the
 source's words up to and with it, divided by the source's target, which is its
 weight times the water level of the capped shares.  All items are ranked by
 finish time and the mix is cut where it would exceed the total budget.
@@ -10,11 +10,15 @@ No source is ordered in one task: the shuffle key's leading hex digits cut
 each queue into ``16 ** digits`` cells, running sums are taken inside a cell,
 and cell offsets come from the table of cell totals.  The cut is found from
 the totals of finish-time cells; only the one cell it falls into is ordered.
+Words are counted once: sizes and shuffle keys are written to the shared folder
+(with the kept columns, unless the text is one of them; then the texts are read
+once more for the result).
 
 Edge cases: null text has size 0; a null source is a source of its own, last;
 sources without words get target 0 and nothing is taken of them; documents of
-equal finish time are taken or left together; rows that repeat an id follow
-each other in the queue; an empty table gives no row.  Kept columns of the
+equal finish time are taken or left together; rows that repeat an id, or have
+none, spread over the queue by their texts, and only rows equal in both follow
+each other; an empty table gives no row.  Kept columns of the
 same names as the new ones are replaced.
 """
 
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attriscope.llm.common import WORD, table
+from attriscope.llm.common import WORD, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -64,9 +68,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD))).cast("long").alias("size"),
         F.when(src.isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), src)).alias("skey"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))).alias("u"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))).alias("u"),
     ).withColumn("cell", F.substring("u", 1, digits))
-    cells = base.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
+    if text_col in kept:
+        sizes = stored(base.drop("row"), "mix-sizes")
+    else:
+        base = sizes = stored(base, "mix-rows")
+    cells = sizes.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size"))
     totals = cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size"))
     before = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -76,12 +84,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .checkpoint()
     )
     queue = Window.partitionBy("skey", "cell").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = base.join(offsets, ["skey", "cell"]).withColumn("upto", F.col("before") + F.sum("size").over(queue))
+
+    def placed(rows):
+        return rows.join(offsets, ["skey", "cell"]).withColumn("upto", F.col("before") + F.sum("size").over(queue))
 
     def finish(epoch):
         return (epoch * F.col("source_size") + F.col("upto")) / F.col("target")
 
-    items = queued.where("target > 0").select("size", F.explode(F.array(*[finish(F.lit(e)) for e in range(epochs)])).alias("t"))
+    items = placed(sizes).where("target > 0").select("size", F.explode(F.array(*[finish(F.lit(e)) for e in range(epochs)])).alias("t"))
     items = items.withColumn("tcell", F.floor(F.col("t") * TIME_CELLS)).checkpoint()
     budget = F.lit(share) * F.sum("source_size").over(Window.partitionBy())
     total = totals.select(budget.alias("b")).agg(F.max("b").alias("b"))
@@ -103,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     else:
         copies = sum((finish(F.lit(e)) <= F.lit(last)).cast("int") for e in range(epochs))
     return (
-        queued.withColumn("copies", F.coalesce(F.when(F.col("target") > 0, copies), F.lit(0)))
+        placed(base).withColumn("copies", F.coalesce(F.when(F.col("target") > 0, copies), F.lit(0)))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .select("row.*", *ADDED)
     )
@@ -118,7 +128,7 @@ OP7_SQL = r"""
 WITH base AS (
   SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
          CASE WHEN source IS NULL THEN '2' ELSE concat('1', source) END AS skey,
-         md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS u
+         md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, '')))) AS u
   FROM documents),
 tot AS (SELECT skey, sum(size)::BIGINT AS source_size FROM base GROUP BY skey),
 wt AS (SELECT skey, source_size, 2 * source_size AS cap,

@@ -443,6 +443,28 @@ def test_mixing(spark, docs, empty):
     assert t7.mix(empty).count() == 0 and t7.mix(docs.where("doc_id in (3, 4)")).count() == 2
 
 
+@pytest.mark.parametrize("keep", [["doc_id"], ["doc_id", "text", "source"]])
+def test_mixing_without_ids(spark, keep):
+    """A third of the rows has no id: they spread over the queue by their texts; equal rows follow each other."""
+    rng = random.Random(5)
+    rows = [(None if i % 3 == 0 else i, " ".join(["w%d" % rng.randrange(90)] * rng.randint(1, 30)), "ab"[i % 7 == 0]) for i in range(600)]
+    rows += [(None, "same text here", "a")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = t7.mix(d, keep=keep).collect()
+    again = t7.mix(d.repartition(5), keep=keep).collect()
+    assert len(out) == 640 and sizes_taken(out) == sizes_taken(again)
+    by = collections.defaultdict(lambda: [0, 0, 0])
+    for r in out:
+        by[r.source_size][0] += r.taken
+        by[r.source_size][1] = r.target
+        by[r.source_size][2] = max(by[r.source_size][2], r["size"])
+    assert len(by) == 2 and all(abs(got - want) <= most + 1 for got, want, most in by.values())
+
+
+def sizes_taken(rows):
+    return sorted((r["size"], r.taken) for r in rows)
+
+
 # ---- op8 --------------------------------------------------------------------------------------
 
 
