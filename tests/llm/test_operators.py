@@ -160,6 +160,62 @@ def test_license_rules(spark, docs):
     assert {r.doc_id for r in out.where("n_licenses > 0").collect()} == {10}
 
 
+NOTICES = {
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.": ["GPL-3.0"],
+    "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n": ["LGPL-2.1"],
+    " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n"
+    " * version 2.1 of the License, or (at your option) any later version.\n": ["LGPL-2.1"],
+    "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU Affero General Public License as published\n    by the Free Software Foundation, either version 3 of the License, or\n"
+    "    (at your option) any later version.\n\n    This program is distributed in the hope": ["AGPL-3.0"],
+    "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version 2\n"
+    "# of the License, or (at your option) any later version.\n": ["GPL-2.0"],
+    "// SPDX-License-Identifier: GPL-2.0-or-later\n#include <x.h>": ["GPL-2.0"],
+    "/* SPDX-License-Identifier: BSD-2-Clause */\nint x;": ["BSD-2-Clause"],
+    "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n": ["Apache-2.0", "MIT"],
+    "/* SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 AND (ISC or Zlib) */": ["GPL-2.0", "ISC", "Zlib"],
+    "SPDX-License-Identifier: Own-1.0": [],
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.\n": ["Apache-2.0", "MIT"],
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS": ["Apache-2.0"],
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright\n"
+    "   notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n"
+    "   documentation and/or other materials provided with the distribution.\n3. Neither the name of the University nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n"
+    "   without specific prior written permission.\n": ["BSD-2-Clause", "BSD-3-Clause"],
+    " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n": ["MPL-2.0"],
+    "This software is provided 'as-is', without any express or implied\nwarranty. In no event\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\n"
+    "freely, subject to the following restrictions:\n\n1. The origin": ["Zlib"],
+    "Permission is granted by the library. Use of licences is distributed.": [],
+}
+
+
+def test_license_notices_in_both_engines(spark):
+    """Notices as they stand in files: wrapped lines, comment marks, SPDX expressions, a holder's own name; texts before and after."""
+    import duckdb
+
+    pad = "Words that are no licence. " * 3
+    rows = [(i, pad + "\n\n" + text + "\n\n" + pad) for i, text in enumerate(NOTICES)] + [(i + 100, t) for i, t in enumerate(NOTICES)]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, pad * 20000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in t3.scan(df).collect()}
+    for i, want in enumerate(NOTICES.values()):
+        assert sorted(got[i].licenses) == sorted(got[i + 100].licenses) == sorted(want), list(NOTICES)[i]
+    assert [got[k].licenses for k in (-1, -2, -3)] == [[], [], []]
+    documents = df.toArrow()  # noqa: F841  read by the SQL below
+    sql = {r[0]: r[1:] for r in duckdb.sql(t3.OP3_SQL).fetchall()}
+    assert sql == {k: (",".join(r.licenses), r.n_licenses, r.sentence_ids) for k, r in got.items()}
+
+
+def test_license_tables_are_arguments(spark):
+    own = t3.known({1: "You may use this under the House License"}, ["House-1.0"], [("House", [(1,)]), ("House", [(t3.FIRST_TERM,)])])
+    df = spark.createDataFrame([(1, "Notice. You may use this under\nthe House License."), (2, "SPDX-License-Identifier: House-1.0"), (3, "MIT License")], "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in t3.scan(df, using=own).collect()} == {1: ["House"], 2: ["House"], 3: []}
+    with pytest.raises(ValueError):
+        t3.known({1: "no word of the kind"}, [], [])
+
+
+def test_license_table_is_whole():
+    used = {i for _, places in t3.TEXT_RULES for p in places for i in p}
+    assert used <= set(t3.SENTENCES) and len(t3.LICENSES) >= 40 and len(dict(t3.GIVEN.terms)) == len(t3.SPDX)
+
+
 # ---- op4 --------------------------------------------------------------------------------------
 
 
