@@ -8,11 +8,13 @@ the order of the merged pieces' scores) and byte fallback.
 No piece crosses from a visible character to a space marker or holds a line end (checked when
 the model is read), so a text is encoded piecewise: runs of markers with the
 visible characters after them.  Each distinct run is encoded once in a batch, by
-``encode_batch_fast`` on all threads the task may use; runs that a task has met are remembered up to ``REMEMBER``.
+``encode_batch_fast`` on the task's own thread; runs that a task has met are remembered, the last ``REMEMBER`` and those before.
 
-Parity: the ids are the tokenizers backend's.  Each new run's ids are compared with those of the sentencepiece
-library, and a sample of the texts as a whole (one in ``WHOLE``, chosen by the text's CRC-32, so the same texts in any
-batch).  Differences are counted in the row's ``n_parity``; none stops a job.
+Parity: the ids are the tokenizers backend's.  Every text is compared with the sentencepiece library: its normal form,
+and the ids of each of its runs.  For a BPE model this is the comparison of the whole text, as the library joins
+symbols only to pieces of the vocabulary and none crosses a run.  It is not where unknown symbols are fused (across
+runs) or a unigram's score is summed over the text (rounding): such texts are encoded whole by the library as well,
+every one.  Differences are counted in the row's ``n_parity``; none stops a job.
 
 Decoding goes from ids to text by the tokenizers library's decoders (marker, byte
 pieces).  Each distinct run is decoded again; round_trip says whether all runs of a
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 from attriscope.llm.common import annotate, table, texts_of
 
 MARK = "▁"
-REMEMBER, GROUP = 200_000, 4_000
+REMEMBER, GROUP = 300_000, 4_000
 WHOLE = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -103,10 +105,12 @@ class SentencePiece:
             model = models.BPE(vocab=vocab, merges=self._merges(vocab), unk_token=self.pieces[unk], fuse_unk=True, byte_fallback=fallback)
         self.tok = Tokenizer(model)
         self.tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        plain = [p for p, t in zip(self.pieces, self.types) if t == NORMAL]
+        plain = [p for p, t in zip(self.pieces, self.types) if t in (NORMAL, UNUSED)]  # what the library joins symbols to
         crossing = any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in plain)
         self.runs = None if crossing else re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
+        self.unk = unk
         self.known: dict[str, bytes] = {}  # 32-bit ids of a run
+        self.before: dict[str, bytes] = {}  # the runs remembered before those
         self.differ: set[str] = set()  # runs with other ids in sentencepiece
         self.lossy: set[str] = set()  # runs that do not decode to themselves
         self.lib = None
@@ -150,15 +154,30 @@ class SentencePiece:
         """Ids of each text; runs are compared with sentencepiece on the way."""
         cut = [self.split(t) for t in texts]
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list({r for c in cut for r in c}.difference(self.known))
+            self.before, self.known = self.known, {}
+        new = {r for c in cut for r in c}.difference(self.known)
+        met = new & self.before.keys()
+        self.known.update((r, self.before[r]) for r in met)
+        new = list(new - met)
         for at in range(0, len(new), GROUP):
             self.learn(new[at : at + GROUP])
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, c)), np.int32) for c in cut]
         return out
 
+    def differences(self, texts: list[str], ids: list[np.ndarray]) -> list[int]:
+        """Runs of each text with other ids in the sentencepiece library; 1 if only the text as a whole differs."""
+        if not self.lib or not texts:
+            return [0] * len(texts)
+        same = [a == self.normalise(t) for a, t in zip(self.lib.normalize(texts), texts)]
+        by_runs = self.kind == "bpe" and self.runs is not None
+        whole = [i for i, x in enumerate(ids) if same[i] and not (by_runs and (x != self.unk).all())]
+        for i, theirs in zip(whole, self.lib.encode([texts[i] for i in whole], num_threads=1) if whole else []):
+            same[i] = ids[i].tolist() == theirs
+        runs = [sum(r in self.differ for r in self.split(t)) if self.differ else 0 for t in texts]
+        return [max(n, int(not s)) for n, s in zip(runs, same)]
+
     def whole_differs(self, text: str, ids: np.ndarray) -> bool:
-        """Whether a text of the sample has other ids as a whole in the sentencepiece library."""
+        """A spot check by hand (one text in ``WHOLE``); no result comes from it, :meth:`differences` asks every text."""
         if not self.lib or zlib.crc32(text.encode("utf-8", "surrogatepass")) % WHOLE:
             return False
         return ids.tolist() != self.lib.encode(text)
@@ -194,8 +213,7 @@ def tokenize(docs: DataFrame, model_path: str, text_col: str = "text", keep: lis
     keep = docs.columns if keep is None else keep
 
     def make():
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # a task's share of a machine, not all its cores
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task's share of a machine is one core
         sp = loaded(model_path, parity)
 
         def run(text):
@@ -206,11 +224,8 @@ def tokenize(docs: DataFrame, model_path: str, text_col: str = "text", keep: lis
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.array(size, pa.int64())
-            odd = sp.differ | sp.lossy
-            cut = [sp.split(t) if odd else [] for t in texts]
-            whole = [sp.whole_differs(t, x) for t, x in zip(texts, ids)]
-            yield pa.array([max(sum(r in sp.differ for r in c), int(w)) for c, w in zip(cut, whole)], pa.int64())
-            yield pa.array([sp.lossy.isdisjoint(c) for c in cut], pa.bool_())
+            yield pa.array(sp.differences(texts, ids), pa.int64())
+            yield pa.array([not sp.lossy or sp.lossy.isdisjoint(sp.split(t)) for t in texts], pa.bool_())
 
         return run
 

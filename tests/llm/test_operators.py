@@ -441,6 +441,27 @@ def test_a_difference_is_marked_and_stops_nothing():
     assert marked == [zlib.crc32(t.encode()) % t6.WHOLE == 0 for t in texts] and any(marked) and not all(marked)
 
 
+def test_every_text_is_compared_with_the_library():
+    """A library whose normal form of some texts differs: each of those texts is marked, not one in 64 of them."""
+    own = t6.SentencePiece(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [f"some words {i}" for i in range(500)] + ["", " \n\t", "日本 é", "a" * 300]
+    ids = own.encode(texts)
+    assert own.differences(texts, ids) == [0] * len(texts) == [int(x.tolist() != y) for x, y in zip(ids, own.lib.encode(texts))]
+
+    class Other:
+        def __init__(self, lib):
+            self.lib, self.encode = lib, lib.encode
+
+        def normalize(self, texts):
+            return [f"{x}." if t.endswith("3") else x for t, x in zip(texts, self.lib.normalize(texts))]
+
+    own.lib = Other(own.lib)
+    assert own.differences(texts, ids) == [int(t.endswith("3")) for t in texts]
+    own.lib, own.unk = own.lib.lib, int(ids[0][0])  # texts with an unknown piece go to the library as a whole
+    other = [np.append(x, 7).astype(np.int32) for x in ids]
+    assert own.differences(texts[:500], other[:500]) == [1] * 500
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     import struct
 
