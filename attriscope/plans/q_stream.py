@@ -31,6 +31,6 @@ def q_roster_files_stream(spark, sf):
     orders = [RAW_COLUMNS, RAW_COLUMNS[::-1], sorted(RAW_COLUMNS), ["Extra", *RAW_COLUMNS[5:], *RAW_COLUMNS[:5]], [c for c in RAW_COLUMNS if c != "EmployeeNumber"]]
     for i, names in enumerate(orders):
         part = emp.where(F.col("EmployeeNumber") % 5 == i).withColumn("Extra", F.lit("x")).select(*names)
-        part.coalesce(2).write.mode("append").option("header", True).csv(f"{base}/in")
+        part.repartition(2).write.mode("append").option("header", True).csv(f"{base}/in")
     score_files(spark, f"{base}/in", f"{base}/out", f"{base}/aside", f"{base}/checkpoint", 4)
     return spark.read.parquet(f"{base}/out").drop("batch")
