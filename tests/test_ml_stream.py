@@ -1,5 +1,6 @@
 """Learned operators: properties (no oracle can reproduce trained scores)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,44 @@ def test_explanation_is_written_once_for_a_model_and_its_rows(spark, parts):
     want = pdf.assign(a=pdf["shap"].abs()).groupby("feature")["a"].mean().sort_values(ascending=False)
     got = X.shap_importance(table, 3).collect()
     assert [r["mean_abs_shap"] for r in got] == pytest.approx(want.head(3).tolist())
+
+
+def test_shap_by_pattern_equals_the_integral(monkeypatch):
+    """Values looked up for each pattern of conditions are those integrated for each row; deep leaves still integrate."""
+    from attriscope.operators import treeshap as TS
+
+    rng = np.random.default_rng(5)
+
+    def tree(depth):
+        out = [[], [], [], [], [], []]
+
+        def add(d, cover):
+            i = len(out[0])
+            for column, v in zip(out, (-1, 0.0, -1, -1, float(rng.normal()), cover)):
+                column.append(v)
+            if d:
+                share = cover * float(rng.uniform(0.1, 0.9))
+                out[0][i], out[1][i] = int(rng.integers(12)), float(rng.normal())
+                out[2][i], out[3][i] = add(d - 1, share), add(d - 1, cover - share)
+            return i
+
+        add(depth, 100.0)
+        return (*map(np.array, out), 0)
+
+    trees = [tree(4) for _ in range(5)] + [tree(9)]
+    x = rng.normal(size=(70, 12))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    tables = TS.LeafTables(trees, [0.5] * 6)
+    assert all(t[-1] is not None for t in tables.tables if t[1].shape[1] <= 4)
+    monkeypatch.setattr(TS, "CELLS", 300)
+    plain = TS.LeafTables(trees, [0.5] * 6)
+    assert any(t[-1] is None for t in plain.tables)
+    assert np.allclose(tables.values(x), plain.values(x), rtol=0, atol=1e-12)
+
+
+def test_training_rows_of_a_task_are_bounded(spark):
+    """More rows make more tasks, not larger ones; a small table still has one partition for each core."""
+    rows, cores = spark.range(0, 10_000, 1, 1), spark.sparkContext.defaultParallelism
+    assert ML.training_frame(rows).rdd.getNumPartitions() == cores
+    parts = ML.training_frame(rows, task_rows=100).rdd.glom().map(len).collect()
+    assert len(parts) == max(cores, 100) and sum(parts) == 10_000 and max(parts) <= 150
