@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attriscope.llm.common import annotate, kth_largest, parts_of, small_batches, stored, table, texts_of
+from attriscope.llm.common import annotate, kth_largest, let_go, parts_of, small_batches, stored, table, texts_of
 from attriscope.llm.words import Words, longs, per_text
 
 BUCKETS = 1 << 16
@@ -57,6 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> np.nd
     src = src.join(F.broadcast(good), F.col("id") == F.col("good"), "left").select("text", F.col("good").isNotNull().alias("good"))
 
     def count(batches):
+        let_go()
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             texts, is_good = texts_of(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)

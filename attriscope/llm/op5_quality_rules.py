@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attriscope.llm.common import parts_of, small_batches, stored, table, texts_of
+from attriscope.llm.common import let_go, parts_of, small_batches, stored, table, texts_of
 from attriscope.llm.words import Words, longs, mix64, per_text
 from attriscope.operators.common import join_small
 
@@ -115,13 +115,14 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, pack_bytes: int
     src = docs.select(F.col(f"`{text_col}`").alias("text"), language_key(lang_col).alias("model"))
 
     def count(batches):
+        let_go()
         for pack, rows in packs(batches, pack_bytes):
             found: dict[str, list] = {}
             for batch in rows:
                 texts, lang = texts_of(batch.column(0)), batch.column(1).to_pylist()
                 for m, own in by_language(texts, lang):
                     mine = [texts[i] for i in own]
-                    for part in parts_of(mine, 1 << 21):
+                    for part in parts_of(mine, 1 << 20):
                         found.setdefault(m, []).append(np.unique(codes_of(mine[part])[0], return_counts=True))
                     if len(found[m]) > 16:
                         found[m] = [merged(found[m])]
@@ -130,6 +131,7 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, pack_bytes: int
                 if len(code):
                     same = [pa.array([x]).take(pa.array(np.zeros(len(code), np.int32))) for x in (pack, m)]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(code.view(np.int64)), longs(n)], names=["pack", "model", "code", "n"])
+        let_go()
 
     small_batches(docs.sparkSession)
     return stored(src.mapInArrow(count, "pack long, model string, code long, n long"), "ngrams")
@@ -259,14 +261,17 @@ def scored_rows(docs: DataFrame, grams: DataFrame, top: DataFrame, text_col: str
     others = [c for c in keep if c != text_col]
 
     def pack_up(batches):
+        let_go()
         for pack, rows in packs(batches, pack_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 for batch in rows:
                     out.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
+        let_go()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        let_go()
         model = {}
         for m in pc.unique(right.column("model")).to_pylist():
             own = right.filter(pc.equal(right.column("model"), m))

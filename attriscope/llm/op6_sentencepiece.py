@@ -28,7 +28,6 @@ surrogates cannot occur in a Spark string.
 from __future__ import annotations
 
 import array
-import functools
 import os
 import re
 import struct
@@ -40,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attriscope.llm.common import annotate, table, texts_of
+from attriscope.llm.common import annotate, held, table, texts_of
 
 MARK = "▁"
 REMEMBER, GROUP = 300_000, 4_000
@@ -202,10 +201,9 @@ class SentencePiece:
         return t[1:] if self.prefix and t.startswith(" ") else t
 
 
-@functools.lru_cache(maxsize=1)
 def loaded(path: str, parity: bool) -> SentencePiece:
-    """The model, read once in a worker; the runs it has met stay known to the worker's next tasks."""
-    return SentencePiece(path, parity)
+    """The model, read once in a worker; the runs it has met stay known to the worker's next tasks, until one of another kind."""
+    return held(("sentencepiece", path, parity), lambda: SentencePiece(path, parity))
 
 
 def tokenize(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, parity: bool = True) -> DataFrame:
@@ -235,7 +233,7 @@ def tokenize(docs: DataFrame, model_path: str, text_col: str = "text", keep: lis
         T.StructField("n_parity", T.LongType()),
         T.StructField("round_trip", T.BooleanType()),
     ]
-    return annotate(docs, [text_col], fields, make, keep, chunk_bytes=2 << 20)
+    return annotate(docs, [text_col], fields, make, keep, chunk_bytes=2 << 20, holds=True)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:

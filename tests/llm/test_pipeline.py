@@ -56,3 +56,31 @@ def test_sql_forms(spark):
 
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
+
+
+def test_a_worker_lets_go_of_another_stages_model(spark, docs):
+    """A task of another kind frees the tokenizer (and the runs it has met) that the worker's earlier tasks kept."""
+    import gc
+
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from attriscope.llm.common import annotate
+    from attriscope.llm.op6_sentencepiece import tokenize
+
+    def make():
+        def run(array):
+            from attriscope.llm.op6_sentencepiece import SentencePiece
+
+            yield pa.array([sum(isinstance(o, SentencePiece) for o in gc.get_objects())] * len(array), pa.int64())
+
+        return run
+
+    one = docs.select("doc_id", "text").coalesce(1)
+    for _ in range(2):
+        assert tokenize(one, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"]).agg({"n_pieces": "sum"}).first()[0] > 0
+        # as many tasks at once as there are workers, so the one that has the model is among them
+        many = docs.select("doc_id", "text").repartition(16)
+        held = annotate(many, ["text"], [T.StructField("held", T.LongType())], make, ["doc_id"])
+        assert max(r.held for r in held.collect()) == 0
