@@ -231,3 +231,11 @@ def test_training_rows_of_a_task_are_bounded(spark):
     assert ML.training_frame(rows).rdd.getNumPartitions() == cores
     parts = ML.training_frame(rows, task_rows=100).rdd.glom().map(len).collect()
     assert len(parts) == max(cores, 100) and sum(parts) == 10_000 and max(parts) <= 150
+
+
+def test_rows_to_score_are_dealt_to_all_cores(spark):
+    """One large file or a joined table in few parts leaves no core idle, and no task unpacks the model twice on a core."""
+    cores = spark.sparkContext.defaultParallelism
+    for have in (1, 5 * cores):
+        parts = ML.scoring_frame(spark.range(0, 10_000, 1, have)).rdd.glom().map(len).collect()
+        assert len(parts) == cores and sum(parts) == 10_000 and max(parts) <= 2 * 10_000 / cores
