@@ -19,6 +19,7 @@ import json
 import re
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,11 @@ class Bundle:
     version: str
     path: str
     manifest: dict
-    model: PipelineModel
+
+    @cached_property
+    def model(self) -> PipelineModel:
+        """Read when it is first used: all trees then pass through the driver, which a list of files does not need."""
+        return PipelineModel.load(f"{self.path}/model")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -91,7 +96,7 @@ def newest(spark: SparkSession, root: str) -> Bundle:
         path = f"{root.rstrip('/')}/{name}"
         if is_whole(spark, path):
             manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-            return Bundle(name, path, manifest, PipelineModel.load(f"{path}/model"))
+            return Bundle(name, path, manifest)
     raise FileNotFoundError(f"no whole model version in {root}")
 
 

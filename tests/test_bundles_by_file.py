@@ -51,6 +51,18 @@ def test_only_whole_committed_versions_are_read(spark, emp, trained):
     assert B.newest(spark, root).version == first
 
 
+def test_the_model_is_read_only_when_it_is_used(spark, trained, monkeypatch):
+    ff, (model, _) = trained
+    root = work_path(spark, "models")
+    B.publish(spark, root, model, {"feature_names": ff.feature_names})
+    read, load = [], B.PipelineModel.load
+    monkeypatch.setattr(B.PipelineModel, "load", lambda path: read.append(path) or load(path))
+    bundle = B.newest(spark, root)
+    assert not read
+    assert bundle.model.stages[-1].totalNumNodes == model.stages[-1].totalNumNodes
+    assert bundle.model is bundle.model and read == [f"{bundle.path}/model"]
+
+
 def test_files_with_their_own_headers_and_bad_files(spark, emp):
     base = work_path(spark, "by-file")
     rows = emp.select(*RAW_COLUMNS).where("EmployeeNumber <= 60")
