@@ -16,7 +16,7 @@ from attriscope.plans.base import fitted_features, query, with_v
 from attriscope.session import work_path
 from attriscope.sources import bundles as B
 from attriscope.sources.tables import employees as E
-from attriscope.sources.tables import load
+from attriscope.sources.tables import load, stored_employees
 
 _PRED = "CASE WHEN quality = 0 THEN 1 ELSE 0 END"
 
@@ -82,7 +82,7 @@ def _train_test(spark, sf, version="v1"):
     """Fitted features + stratified split, once per session and scale factor (checkpointed)."""
     key = (spark.sparkContext.applicationId, sf, "split", version)
     if key not in _CACHE:
-        emp = E(spark, sf)
+        emp = stored_employees(spark, sf)
         ff = fitted_features(spark, sf, version)
         sp = stratified_split(ff.transform(emp), "Attrition", "EmployeeNumber").checkpoint(eager=True)
         _CACHE[key] = (ff, sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"))
