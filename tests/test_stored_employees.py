@@ -38,3 +38,24 @@ def test_fitting_and_split_read_the_view_once(spark, own, monkeypatch):
         _, train, test = q_ml._train_test(spark, own, version)
         assert train.count() + test.count() == 40
     assert made == [own]
+
+
+def test_tables_of_resampling_are_gone_after_it(spark):
+    """The k-NN tables are deleted once the resampled rows are checkpointed; those rows and tables written outside stay."""
+    import os
+
+    from attriscope.operators import ml as ML
+    from attriscope.session import ensure_checkpoint_dir, materialize, scratch
+
+    folder = ensure_checkpoint_dir(spark) + "/attriscope"
+    rows = spark.range(300).selectExpr("id", "CAST(id % 5 = 0 AS INT) AS Attrition", "double(id * 37 % 101) AS a", "double(id * 53 % 97) AS b")
+    kept = materialize(rows, "kept")
+    want = sorted(map(tuple, ML.resample_fold(kept, ["a", "b"], "id", "smote_tomek").collect()))
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        res = ML.resample_fold(kept, ["a", "b"], "id", "smote_tomek").checkpoint(eager=True)
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
+    assert sorted(map(tuple, res.collect())) == want and kept.count() == 300
+    materialize(rows, "after")
+    assert len(set(os.listdir(folder)) - before) == 1
